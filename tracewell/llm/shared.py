@@ -82,10 +82,11 @@ def bucket_of(keys: pa.Array, bounds: np.ndarray) -> np.ndarray:
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that part words where only letters count; bytes over 127 belong to letters.
+NOT_LETTER = np.array([not (b >= 128 or chr(b).isalpha()) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE[_SPACE] = 0
 _BYTE_OF = _BYTE[_LOWER]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,9 +100,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _slice_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slice_words(data: np.ndarray, breaks: np.ndarray, space: np.ndarray, letters: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of a stretch of bytes; ``breaks``: where texts begin in it."""
-    ink = ~_SPACE[data]
+    ink = ~space[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     first[breaks] |= ink[breaks]
@@ -111,11 +112,14 @@ def _slice_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
     lengths = np.diff(starts, append=len(data))
     place = np.arange(len(data) - starts[0], dtype=np.int64) - np.repeat(starts - starts[0], lengths)
     powers = np.cumprod(np.full(int(lengths.max()), _ODD, dtype=np.uint64))
-    return starts, mix64(np.add.reduceat(_BYTE_OF[data[starts[0]:]] * powers[place], starts - starts[0]))
+    codes = np.where(space, np.uint64(0), _BYTE_OF)[data[starts[0] :]] * powers[place]
+    if letters is not None:
+        codes[place >= letters] = 0
+    return starts, mix64(np.add.reduceat(codes, starts - starts[0]))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of its text), in reading order; null texts have none."""
+def word_hashes(texts: pa.Array, space: np.ndarray = _SPACE, letters: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of its text), in reading order; null texts have none.  letters: bytes of a word that count."""
     texts = texts.fill_null("").cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
@@ -125,12 +129,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     while lo < len(data):
         hi = min(lo + SLICE_BYTES, len(data))
         while hi < len(data):  # on to the next space, so that no word is cut
-            if len(gap := np.flatnonzero(_SPACE[data[hi : hi + 4096]])):
+            if len(gap := np.flatnonzero(space[data[hi : hi + 4096]])):
                 hi += int(gap[0])
                 break
             hi = min(hi + 4096, len(data))
         inner = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
-        starts, hashes = _slice_words(data[lo:hi], inner)
+        starts, hashes = _slice_words(data[lo:hi], inner, space, letters)
         found.append(hashes)
         at.append(starts + lo)
         lo = hi
