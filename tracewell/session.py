@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,10 +21,11 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_tracewell_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / "tracewell.zip"
-        with zipfile.ZipFile(path, "w") as out:
-            for source in sorted(ROOT.rglob("*.py")):
-                out.write(source, source.relative_to(ROOT.parent))
-        context.addPyFile(str(path))
+    folder = tempfile.mkdtemp(prefix="tracewell-")  # the driver serves it from there
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "tracewell.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(ROOT.rglob("*.py")):
+            out.write(source, source.relative_to(ROOT.parent))
+    context.addPyFile(str(path))
     context._tracewell_shipped = True
