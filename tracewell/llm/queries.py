@@ -39,9 +39,9 @@ def queries() -> dict[str, Query]:
 #: Exact top-k: integer vectors, every query row against all rows.
 TOP_K = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
   FROM embeddings
-  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+  WHERE embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0
@@ -59,7 +59,7 @@ WITH c AS (
 ), e AS (
   SELECT *,
     length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '</turn>', ''))) // 7
-      + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), x -> length(x))), 0) AS escaped
+      + coalesce(list_sum([length(x) FOR x IN regexp_extract_all(text, '#{3,}')]), 0) AS escaped
   FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
