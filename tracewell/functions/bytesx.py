@@ -15,6 +15,11 @@ WHITE = r"(?:[\x09-\x0D\x20]|\xC2\x85|\xC2\xA0|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\x
 PART = "Ā"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def view(data: Column) -> Column:
     return F.decode(data, "ISO-8859-1")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewell.functions.bytesx import trim, trim_ascii, valid, view
+from tracewell.functions.bytesx import let, trim, trim_ascii, valid, view
 
 LOW, MEDIUM, HIGH = 1, 2, 3
 NAMES = {1: "Low", 2: "Medium", 3: "High"}
@@ -29,7 +29,10 @@ def _stripped(data: Column) -> Column:
 
 
 def detect_json(data: Column) -> Column:
-    text = _stripped(data)
+    return let(_stripped(data), lambda text: _json(data, text))
+
+
+def _json(data: Column, text: Column) -> Column:
     opens, closes = text.startswith("{"), text.endswith("}")
     level = F.when(opens & closes, HIGH).otherwise(MEDIUM)
     base = _evidence(("json-object-delimiters", opens), ("json-object-delimiters", closes))
@@ -39,7 +42,10 @@ def detect_json(data: Column) -> Column:
 
 
 def detect_cef(data: Column) -> Column:
-    text = _stripped(data)
+    return let(_stripped(data), lambda text: _cef(data, text))
+
+
+def _cef(data: Column, text: Column) -> Column:
     version, pipes = text.startswith("CEF:0|"), F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
     level = F.when(version & (pipes >= 6), HIGH).when(pipes >= 4, MEDIUM).otherwise(LOW)
     evidence = _evidence(("cef-header-prefix", F.lit(True)), ("cef-version-digit", version), ("cef-pipe-count", pipes >= 6))
@@ -47,7 +53,11 @@ def detect_cef(data: Column) -> Column:
 
 
 def detect_syslog(data: Column) -> Column:
-    text, name = _stripped(data), "Syslog (RFC 3164)"
+    return let(_stripped(data), lambda text: _syslog(data, text))
+
+
+def _syslog(data: Column, text: Column) -> Column:
+    name = "Syslog (RFC 3164)"
     one = lambda c, e: _candidate("syslog-rfc3164", name, c, e)
     bare = F.when(text.rlike(r"\A" + MONTH), one(F.lit(MEDIUM), _evidence(("syslog-timestamp-shape", F.lit(True)))))
     unclosed = one(F.lit(LOW), _evidence(("syslog-priority-bracket", F.lit(True)), ("syslog-priority-bracket", F.lit(False))))
@@ -60,7 +70,10 @@ def detect_syslog(data: Column) -> Column:
 
 
 def detect_kv(data: Column) -> Column:
-    text = trim(view(F.encode(F.make_valid_utf8(data.cast("string")), "UTF-8")))
+    return let(trim(view(F.encode(F.make_valid_utf8(data.cast("string")), "UTF-8"))), _kv)
+
+
+def _kv(text: Column) -> Column:
     tokens = F.filter(F.split(text, " ", -1), lambda t: F.length(t) > 0)
     pairs = F.size(F.filter(tokens, lambda t: F.contains(t, F.lit("=")) & ~t.startswith("=") & ~t.endswith("=")))
     enough = (pairs >= 2) & (F.size(tokens) >= 2) & (pairs >= F.floor(F.size(tokens) / 2))
@@ -68,7 +81,10 @@ def detect_kv(data: Column) -> Column:
 
 
 def detect_csv(data: Column) -> Column:
-    text = trim(view(F.encode(F.make_valid_utf8(data.cast("string")), "UTF-8")))
+    return let(trim(view(F.encode(F.make_valid_utf8(data.cast("string")), "UTF-8"))), _csv)
+
+
+def _csv(text: Column) -> Column:
     three = text.rlike(r"(?s)\A[^,=]+,[^,=]+,[^,=]+\z") & ~text.rlike(r"\A[{<\[]")
     return F.when(three, _candidate("generic-csv-3col", "CSV", F.lit(MEDIUM), _evidence(("csv-heuristic", F.lit(True)))))
 
@@ -95,7 +111,10 @@ def infer(data: Column, detectors: tuple[str, ...] = DEFAULT, known: Column | No
     is taken as is, with high confidence.
     """
     ranked = candidates(data, detectors) if detectors else F.array().cast(f"array<{CANDIDATE}>")
+    return let(ranked, lambda r: _decided(data, r, known))
+
 
+def _decided(data: Column, ranked: Column, known: Column | None) -> Column:
     def outcome(decision: str, parser: Column | None, name: Column | None, level: Column | None, reason: str | None) -> Column:
         text = lambda c: F.lit(None).cast("string") if c is None else c
         return F.struct(F.lit(decision).alias("decision"), text(parser).alias("parser_id"), text(name).alias("format_name"), text(level).alias("confidence"), F.lit(reason).cast("string").alias("reason"))

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.functions.bytesx import let
+
 VALUE = "struct<value_type:string,value:string,start:int,end:int>"
 TARGETS = ["timestamp", "source_ip", "source_hostname", "dest_ip", "dest_hostname", "severity", "message", "action"]
 CANONICAL = "struct<value:string,source_field:string,start:int,end:int,transformations:array<string>,rule_id:string,confidence:string>"
@@ -19,7 +21,8 @@ CANONICAL = "struct<value:string,source_field:string,start:int,end:int,transform
 def to_ir(parser_id: Column, fields: Column) -> Column:
     """map(name -> value): the last of equal names wins; only JSON has other types than String."""
     typed = lambda f: F.when((parser_id == "json-flat") & (f["raw_value"] == "null"), "Null").when((parser_id == "json-flat") & f["raw_value"].isin("true", "false"), "Boolean").otherwise("String")
-    last = F.filter(fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.size(fields)), lambda g: g["name"] == f["name"]))
+    names = F.transform(fields, lambda f: f["name"])
+    last = let(names, lambda n: F.filter(fields, lambda f, i: ~F.array_contains(F.slice(n, i + 2, F.size(n)), f["name"])))
     entries = F.transform(last, lambda f: F.struct(f["name"].alias("key"), F.struct(typed(f).alias("value_type"), f["raw_value"].alias("value"), f["start"], f["end"]).alias("value")))
     return F.map_from_entries(F.array_sort(entries))
 
@@ -78,22 +81,40 @@ def _severity(kind: str, value: Column) -> tuple[Column, list[Column]]:
     return words(JSON_WORDS), [F.lit("identity"), F.lit("lowercase")]
 
 
+ABSTENTION = "struct<target:string,fields:array<string>,rule_id:string,reason:string>"
+
+
+def _applied(rule: Rule, ir: Column) -> Column:
+    """struct(found, abstained) of a rule."""
+    nothing, kept = F.lit(None).cast(CANONICAL), F.lit(None).cast(ABSTENTION)
+    both = lambda found, abstained: F.struct(found.alias("found"), abstained.alias("abstained"))
+
+    def abstain(there: Column, reason: str) -> Column:
+        return both(nothing, F.struct(F.lit(rule.target).alias("target"), there.alias("fields"), F.lit(rule.rule_id).alias("rule_id"), F.lit(reason).alias("reason")).cast(ABSTENTION))
+
+    def take(there: Column, one: Column) -> Column:
+        value, steps = (one["value"], [F.lit("identity")]) if rule.kind == "string" else _severity(rule.kind, one["value"])
+        blank = (one["value_type"] == "Null") | ~one["value"].rlike(r"[^\p{IsWhite_Space}]")
+        found = lambda v: F.struct(v.alias("value"), there[0].alias("source_field"), one["start"].alias("start"), one["end"].alias("end"), F.filter(F.array(*steps), lambda x: x.isNotNull()).alias("transformations"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.confidence).alias("confidence")).cast(CANONICAL)
+        return F.when(blank, abstain(there, "InsufficientEvidence")).otherwise(let(value, lambda v: F.when(v.isNull(), abstain(there, "TypeMismatch")).otherwise(both(found(v), kept))))
+
+    there = F.filter(F.array(*[F.lit(s) for s in rule.sources]), lambda s: F.map_contains_key(ir, s))
+    return let(there, lambda t: F.when(F.size(t) == 0, both(nothing, kept)).when(F.size(t) > 1, abstain(t, "Ambiguous")).otherwise(let(F.element_at(ir, t[0]), lambda one: take(t, one))))
+
+
 def canonical(parser_id: Column, ir: Column) -> Column:
-    """struct(<target>..., unmapped map, abstentions); null for parsers without rules."""
-    none = F.lit(None).cast(CANONICAL)
-    values, abstained = {t: none for t in TARGETS}, []
+    """struct(<target>..., unmapped map, abstentions); null for parsers without rules, and for what wasn't parsed."""
+    results = []
     for target in ORDER:
+        own = F.struct(F.lit(None).cast(CANONICAL).alias("found"), F.lit(None).cast(ABSTENTION).alias("abstained"))
         for rule in (r for r in RULES if r.target == target):
-            mine = (parser_id == rule.parser_id) & ir.isNotNull()
-            there = F.filter(F.array(*[F.lit(s) for s in rule.sources]), lambda s: F.map_contains_key(ir, s))
-            one = F.try_element_at(ir, F.get(there, F.lit(0)))
-            blank = (one["value_type"] == "Null") | ~one["value"].rlike(r"[^\p{IsWhite_Space}]")
-            value, steps = (one["value"], [F.lit("identity")]) if rule.kind == "string" else _severity(rule.kind, one["value"])
-            found = F.struct(value.alias("value"), F.get(there, F.lit(0)).alias("source_field"), one["start"].alias("start"), one["end"].alias("end"), F.filter(F.array(*steps), lambda x: x.isNotNull()).alias("transformations"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.confidence).alias("confidence")).cast(CANONICAL)
-            values[target] = F.when(mine & (F.size(there) == 1) & ~blank & value.isNotNull(), found).otherwise(values[target])
-            reason = F.when(F.size(there) > 1, "Ambiguous").when(F.size(there) == 1, F.when(blank, "InsufficientEvidence").when(value.isNull(), "TypeMismatch"))
-            abstained.append(F.when(mine & reason.isNotNull(), F.struct(F.lit(target).alias("target"), there.alias("fields"), F.lit(rule.rule_id).alias("rule_id"), reason.alias("reason"))))
-    used = F.filter(F.array(*[values[t]["source_field"] for t in TARGETS]), lambda x: x.isNotNull())
-    unmapped = F.map_filter(ir, lambda k, v: ~F.array_contains(used, k))
-    whole = F.struct(*[values[t].alias(t) for t in TARGETS], unmapped.alias("unmapped"), F.filter(F.array(*abstained), lambda a: a.isNotNull()).alias("abstentions"))
-    return F.when(parser_id.isin(*{r.parser_id for r in RULES}), whole)
+            own = F.when(parser_id == rule.parser_id, _applied(rule, ir)).otherwise(own)
+        results.append(own.alias(target))
+
+    def whole(r: Column) -> Column:
+        used = F.array_compact(F.array(*[r[t]["found"]["source_field"] for t in ORDER]))
+        values = [(r[t]["found"] if t in ORDER else F.lit(None).cast(CANONICAL)).alias(t) for t in TARGETS]
+        unmapped = let(used, lambda u: F.map_filter(ir, lambda k, v: ~F.array_contains(u, k)))
+        return F.struct(*values, unmapped.alias("unmapped"), F.array_compact(F.array(*[r[t]["abstained"] for t in ORDER])).alias("abstentions"))
+
+    return F.when(parser_id.isin(*{r.parser_id for r in RULES}) & ir.isNotNull(), let(F.struct(*results), whole))

@@ -11,10 +11,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.bytesx import WHITE, lead, parts, text_of, trim, unsigned, valid, view
+from tracewell.functions.bytesx import WHITE, lead, let, parts, text_of, trim, unsigned, valid, view
 
 FIELDS = "array<struct<name:string,raw_value:string,start:int,end:int>>"
 RESULT = f"struct<status:string,error:string,fields:{FIELDS}>"
@@ -44,10 +44,10 @@ SYSLOG = rf"(?s)\A(<([^>]*+)>)?+({WHITE}*+)((?=.{{15}})(?:Jan|Feb|Mar|Apr|May|Ju
 
 
 def syslog(data: Column) -> Column:
-    text = view(data)
-    body, first = trim(text), lead(text)
-    g = parts(body, SYSLOG, 10)
-    sizes = F.transform(g, lambda x: F.length(x))
+    return let(view(data), lambda text: let(F.struct(trim(text).alias("body"), lead(text).alias("first")), lambda t: _syslog(data, t["body"], t["first"])))
+
+
+def _syslog_fields(g: Column, sizes: Column, first: Column, length: Column) -> Column:
     at = lambda i: first + F.aggregate(F.slice(F.array_remove(sizes, -1), 1, i), F.lit(0), lambda a, x: a + x) - F.when(F.lit(i > 1), sizes[1]).otherwise(0)  # noqa: E731  group 2 lies in group 1
     number = unsigned(g[1], 2**32 - 1)
     priority = [
@@ -55,14 +55,18 @@ def syslog(data: Column) -> Column:
         F.struct(F.lit("syslog.facility").alias("name"), F.shiftright(number, 3).cast("string").alias("raw_value"), (first + 1).cast("int").alias("start"), (first + 1 + sizes[1]).cast("int").alias("end")),
         F.struct(F.lit("syslog.severity").alias("name"), number.bitwiseAND(7).cast("string").alias("raw_value"), (first + 1).cast("int").alias("start"), (first + 1 + sizes[1]).cast("int").alias("end")),
     ]
-    end = (first + F.length(body)).cast("int")
+    end = (first + length).cast("int")
     rest = [
         _field("syslog.timestamp", g[3], at(3)),
         _trimmed("syslog.hostname", g[5], at(5)),
         _trimmed("syslog.tag", g[7], at(7)),
         F.when(F.length(g[9]) > 0, _field("syslog.message", g[9], at(9))).otherwise(F.struct(F.lit("syslog.message").alias("name"), F.lit("").alias("raw_value"), end.alias("start"), end.alias("end"))),
     ]
-    fields = F.when(F.length(g[0]) > 0, F.concat(F.array(*priority), F.array(*rest))).otherwise(F.array(*rest))
+    return F.when(F.length(g[0]) > 0, F.concat(F.array(*priority), F.array(*rest))).otherwise(F.array(*rest))
+
+
+def _syslog(data: Column, body: Column, first: Column) -> Column:
+    fields = let(parts(body, SYSLOG, 10), lambda g: let(F.transform(g, lambda x: F.length(x)), lambda sizes: _syslog_fields(g, sizes, first, F.length(body))))
     opened = body.startswith("<")
     pri = F.regexp_extract(body, r"\A<([^>]*+)>", 1)
     after = F.regexp_replace(body, rf"\A<[^>]*+>{WHITE}*+", "")
@@ -86,32 +90,31 @@ CEF_BEFORE = r"(?s)\A(.*?)(?:(?<![^ ])[A-Za-z0-9_.\-]+=|\z)"
 
 
 def cef(data: Column) -> Column:
-    text = view(data)
-    body, first = trim(text), lead(text)
-    s = F.split(body, r"\|", 8)
-    sizes = F.transform(s, lambda x: F.length(x))
-    at = lambda i: first + F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x + 1)
-    version = F.substring(s[0], F.lit(5), F.length(s[0]))
-    header = [_trimmed("cef.version", version, first + 4), *(_trimmed(n, s[i], at(i)) for i, n in enumerate(CEF_HEADER, 1))]
-    more = s[7]
-    keys, values = (F.regexp_extract_all(more, F.lit(CEF_PAIR), F.lit(i)) for i in (1, 2))
-    start = at(7) + F.length(F.regexp_extract(more, CEF_BEFORE, 1))
-    none = F.array().cast(FIELDS)
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["k"]) + 1
-        return F.struct((begin + F.length(pair["v"]) + 1).cast("int").alias("at"), F.concat(state["out"], F.array(_field(text_of(pair["k"]), pair["v"], begin))).alias("out"))
-
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    more_fields = F.aggregate(pairs, F.struct(start.cast("int").alias("at"), none.alias("out")), step, lambda x: x["out"])
-    return (
-        F.when(~valid(data), _result("Malformed", "not UTF-8"))
-        .when(~body.startswith("CEF:"), _result("Unsupported", "no CEF prefix"))
-        .when(F.size(s) < 8, _result("Malformed", "fewer than 8 segments"))
-        .when(trim(version) != "0", _result("Unsupported", "CEF version"))
-        .when(F.size(keys) > MAX_CEF, _result("ResourceLimit", "too many extensions"))
-        .otherwise(_result("Success", None, F.concat(F.array(*header), more_fields)))
-    )
+    return let(view(data), lambda text: let(F.struct(trim(text).alias("body"), lead(text).alias("first")), lambda t: _cef(data, t["body"], t["first"])))
+
+
+def _cef(data: Column, body: Column, first: Column) -> Column:
+    def read(s: Column, sizes: Column) -> Column:
+        at = lambda i: first + F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x + 1)
+        version = F.substring(s[0], F.lit(5), F.length(s[0]))
+        header = [_trimmed("cef.version", version, first + 4), *(_trimmed(n, s[i], at(i)) for i, n in enumerate(CEF_HEADER, 1))]
+        start = at(7) + F.length(F.regexp_extract(s[7], CEF_BEFORE, 1))
+
+        def step(state: Column, pair: Column) -> Column:
+            begin = state["at"] + F.length(pair["k"]) + 1
+            return F.struct((begin + F.length(pair["v"]) + 1).cast("int").alias("at"), F.concat(state["out"], F.array(_field(text_of(pair["k"]), pair["v"], begin))).alias("out"))
+
+        keys, values = (F.regexp_extract_all(s[7], F.lit(CEF_PAIR), F.lit(i)) for i in (1, 2))
+        pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+        more = lambda p: F.aggregate(p, F.struct(start.cast("int").alias("at"), F.array().cast(FIELDS).alias("out")), step, lambda x: x["out"])
+        return (
+            F.when(F.size(s) < 8, _result("Malformed", "fewer than 8 segments"))
+            .when(trim(version) != "0", _result("Unsupported", "CEF version"))
+            .otherwise(let(pairs, lambda p: F.when(F.size(p) > MAX_CEF, _result("ResourceLimit", "too many extensions")).otherwise(_result("Success", None, F.concat(F.array(*header), more(p))))))
+        )
+
+    split = let(F.split(body, r"\|", 8), lambda s: let(F.transform(s, lambda x: F.length(x)), lambda sizes: read(s, sizes)))
+    return F.when(~valid(data), _result("Malformed", "not UTF-8")).when(~body.startswith("CEF:"), _result("Unsupported", "no CEF prefix")).otherwise(split)
 
 
 # JSON: a lenient scanner with spans, which no built-in function has
@@ -283,14 +286,25 @@ class Registry:
     def __len__(self) -> int:
         return len(self.parsers)
 
-    def parse_first(self, data: Column) -> Column:
-        """struct(parser_id, version, result); later parsers run only where earlier ones are Unsupported."""
-        out = F.struct(F.lit(None).cast("string").alias("parser_id"), F.lit(None).cast("string").alias("version"), _result("Unsupported", "no parser").alias("result"))
-        for p in reversed(self.parsers):
-            got = p.parse(data)
-            own = F.struct(F.lit(p.id).alias("parser_id"), F.lit(p.version).alias("version"), got.alias("result"))
-            out = F.when(got["status"] != "Unsupported", own).otherwise(out)
-        return out
+    def dispatch(self, df: DataFrame, column: str, name: str = "first") -> DataFrame:
+        """df with struct(parser_id, version, result); a parser sees only records that all before it left as Unsupported.
+
+        Each answer is exploded from an array of one, so that what is above the
+        explode can't make it be computed again.
+        """
+        out, columns = df, []
+        for i, p in enumerate(self.parsers):
+            open_ = F.lit(True) if not columns else F.col(columns[-1])["status"].isNull() | (F.col(columns[-1])["status"] == "Unsupported")
+            for c in columns[:-1]:
+                open_ = open_ & (F.col(c)["status"].isNull() | (F.col(c)["status"] == "Unsupported"))
+            answer = p.parse(F.when(open_, F.col(column)))
+            out = out.select("*", F.explode(F.array(F.when(open_, answer))).alias(f"__{name}{i}"))
+            columns.append(f"__{name}{i}")
+        found = F.struct(F.lit(None).cast("string").alias("parser_id"), F.lit(None).cast("string").alias("version"), _result("Unsupported", "no parser").alias("result"))
+        for p, c in reversed(list(zip(self.parsers, columns, strict=True))):
+            own = F.struct(F.lit(p.id).alias("parser_id"), F.lit(p.version).alias("version"), F.col(c).alias("result"))
+            found = F.when(F.col(c)["status"] != "Unsupported", own).otherwise(found)
+        return out.select(*df.columns, F.explode(F.array(found)).alias(name))
 
 
 JSON = Parser("json-flat", "0.1.0", json_flat)

@@ -67,18 +67,19 @@ def interpret(records: DataFrame, config: PipelineConfig) -> DataFrame:
     """records (with event_id, frame_index and frame_bytes) parsed, inferred, typed and mapped."""
     data = F.col("frame_bytes")
     registry = parsers.Registry(list(config.parsers))
-    out = _once(records, "first", registry.parse_first(data))
+    out = registry.dispatch(records, "frame_bytes", "first")
     status = F.col("first.result.status")
     ask = (status == "Unsupported") if config.policy == "replay" else (status != "Success")
     nothing = F.lit(None).cast("struct<decision:string,parser_id:string,format_name:string,confidence:string,reason:string>")
-    out = _once(out, "inference", F.when(ask, inference.infer(data, config.detectors)).otherwise(nothing))
+    out = _once(out, "inference", F.when(ask, inference.infer(F.when(ask, data), config.detectors)).otherwise(nothing))
     again = {p.id: p for p in config.parsers}
     if config.policy == "bench":
         again = {p.id: p for p in (parsers.KV, parsers.CSV)}
     second = F.lit(None).cast(f"struct<parser_id:string,version:string,result:{parsers.RESULT}>")
     for p in again.values():
-        got = F.struct(F.lit(p.id).alias("parser_id"), F.lit(p.version).alias("version"), p.parse(data).alias("result"))
-        second = F.when((F.col("inference.decision") == "Recognized") & (F.col("inference.parser_id") == p.id), got).otherwise(second)
+        mine = (F.col("inference.decision") == "Recognized") & (F.col("inference.parser_id") == p.id)
+        got = F.struct(F.lit(p.id).alias("parser_id"), F.lit(p.version).alias("version"), p.parse(F.when(mine, data)).alias("result"))
+        second = F.when(mine, got).otherwise(second)
     out = _once(out, "parsed", F.coalesce(second, F.col("first")))
     done = F.col("parsed.result.status") == "Success"
     out = _once(out, "ir", F.when(done, mapping.to_ir(F.col("parsed.parser_id"), F.col("parsed.result.fields"))))
