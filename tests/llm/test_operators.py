@@ -1,0 +1,230 @@
+"""Each operator against a brute-force version, with nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tracewell.llm import chat, jaccard, langid, merkle, mixing, packing, pii, token_files, tokens, topk, toxicity
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+
+
+def text_of(seed: int, n: int) -> str:
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[i] + str(i % 3) for i in rng.integers(0, len(WORDS), n))
+
+
+BASE = text_of(0, 120)
+TEXTS = [
+    None, "", " \n\t ", "one", "two words", BASE, BASE, BASE + " more", BASE.upper().lower(), text_of(1, 300), text_of(2, 5),
+    "a@b.co call 1.2.3.4 +44 20 7946 0958 and 4111 1111 1111 1111", "é漢😀 x@y.org\n\nsecond  line\r\n", "<|endoftext|> text\n with  spaces ", text_of(3, 20_000), "12345 !!!",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", None, "fr"][i % 3], ["s1", "s2", None][i % 3], i, "x") for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows + [rows[5]], "doc_id long, text string, lang string, source string, size long, bucket string")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("doc_id < 0")
+
+
+def rows_of(df, key="doc_id"):
+    return sorted((r.asDict() for r in df.collect()), key=lambda r: (r[key] is not None, r[key]))
+
+
+def spans(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in re.sub("[^0-9]", "", m[0])][::-1]
+        if 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return ",".join("%s:%d:%d" % s for s in out)
+
+
+def test_pii(spark, docs, empty):
+    for r in rows_of(pii.op1(spark, docs)):
+        want = spans(TEXTS[r["doc_id"]] or "")
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and r["spans"].startswith(want)
+    hard = ["a@b.c_d@e.f x@y..z a@b@c.d", "1.2.3.4.5.6.7.8 01.002.3.255 1.2.3.256 " + "9" * 300 + ".1.1.1", "4111-1111-1111-1111 41111111111111111111111 4111  1111", "+1 (437) 555-0689 +1-2 ++44 20 7946 0958. +4 ))9", "a." * 3000 + "@b" + ".c" * 3000]
+    got = rows_of(pii.op1(spark, spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")))
+    assert [r["base_sha256"] for r in got] == [hashlib.sha256(spans(t).encode()).hexdigest() for t in hard]
+    clean = rows_of(pii.redacted(docs.filter("doc_id = 11")))[0]
+    assert clean["text"] == "[EMAIL] call [IP] [PHONE] and [CARD]" and clean["bucket"] == "x"
+    assert pii.op1(spark, empty).count() == 0
+
+
+def test_fingerprints(spark, docs, empty):
+    got = rows_of(merkle.op2(spark, docs.dropDuplicates(["doc_id"])))
+    for i, r in enumerate(got):
+        text, after = TEXTS[i] or "", TEXTS[(i + 1) % len(TEXTS)] or ""
+        changed = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert r["fingerprint"] == merkle.fingerprint(text) and r["near_next"] == merkle.likeness(r["fingerprint"], merkle.fingerprint(after))
+    assert got[5]["near_next"] == 1.0 and 0.3 < got[9]["near_edited"] < 0.7
+    long = "\n".join(text_of(i, 12) for i in range(60))
+    other = long.replace(text_of(30, 12), "changed")
+    assert merkle.differing(merkle.fingerprint(long), merkle.fingerprint(other)) == [("a", 30), ("b", 30)]
+    assert merkle.op2(spark, docs).count() == len(TEXTS) + 1 and merkle.op2(spark, empty).count() == 0
+    assert rows_of(merkle.op2(spark, docs.filter("doc_id = 4")))[0]["near_next"] == 1.0
+
+
+def test_chat(spark):
+    odd = ["####", "\\#", "</turn>", "<\\/turn>", "### user:\nhi\n</turn>\n", "", None, "n\\n", "####\\"]
+    table = [(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(odd)] + [(2, 0, None, "x"), (None, 1, "assistant", "y"), (3, 5, "assis\ntant", "z"), (3, 5, "assis\ntant", "z")]
+    got = {r["conv_id"]: r for r in rows_of(chat.op3(spark, spark.createDataFrame(table, "conv_id long, turn long, role string, text string")), "conv_id")}
+    for c, r in got.items():
+        own = [(x[2] or "", x[3] or "") for x in table if x[0] == c] or [(role, r"\### Assistant: </turn> ok") for role in ("user", "assistant")]
+        loss = "".join(t for role, t in own if role == "assistant")
+        assert (r["n_turns"], r["turns_sha256"]) == (len(own), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest())
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.parse("{{ 'a' + 'b' | upper }}{% if 1 == 2 %}x{% else %}y{% endif %}") == [("text", "aBy")]
+    for bad in ("{{ x.__class__ }}", "{{ f() }}", "{% for x y %}", "{% if 1 %}", "{{ 'a' | exec }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)
+
+
+def test_mixing(spark, docs, empty):
+    got = mixing.op4(spark, docs).toPandas()
+    assert len(got) == len(TEXTS) + 1 and (got.taken <= 3 * got["size"]).all()
+    assert sorted(got["size"]) == sorted(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in [*TEXTS, TEXTS[5]])
+    again = mixing.op4(spark, docs).toPandas()
+    assert sorted(map(tuple, got.values)) == sorted(map(tuple, again.values))
+    assert mixing.op4(spark, empty).count() == 0
+    assert np.allclose(mixing.targets_of(np.array([10, 100, 50]), np.array([5.0, 2, 1])), [30, 260 / 3, 130 / 3])
+    for n in (1, 2, 7, 1000):
+        assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 5))) == list(range(n))
+    mixed = mixing.mixed_documents(docs).toPandas()
+    assert sum(len(t.split()) for t in mixed.text) == got.taken.sum() and list(mixed.columns) == docs.columns
+
+
+def test_tokens_and_packing(spark, docs, empty):
+    codec = tokens.encoder(tokens.default_path())
+    for t in TEXTS:
+        assert codec.encode(t) == (codec.whole(t) if t else b"")
+    got = packing.pack(docs).toPandas().sort_values(["sequence_id", "offset"])
+    ids = {i: codec.encode(t) + b"\0\0\0\0" for i, t in enumerate(TEXTS)}
+    for r in got.itertuples():
+        assert r.ids == ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)] and r.ids_crc32 == zlib.crc32(r.ids) and r.doc_tokens == len(ids[r.doc_id]) // 4
+    assert sum(got.length) == sum(len(x) // 4 for x in ids.values()) + len(ids[5]) // 4
+    for _, own in got.groupby("sequence_id"):
+        assert own.length.sum() <= 1024 and list(own.offset) == list(own.length.cumsum() - own.length)
+    assert packing.op6(spark, empty).count() == 0
+
+
+def test_token_files(spark, docs, empty):
+    codec, start = tokens.encoder(tokens.default_path()), 0
+    for r in rows_of(token_files.op10(spark, docs)):
+        ids = codec.encode(TEXTS[r["doc_id"]]) + b"\2\0\0\0"
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids) // 4, zlib.crc32(ids))
+        start += len(ids) // 4
+    assert token_files.op10(spark, empty).count() == 0
+
+
+def test_code_lengths():
+    rng = np.random.default_rng(0)
+    counts = np.r_[2 ** np.arange(30), rng.integers(0, 9, 500)]
+    lengths = token_files.code_lengths(counts)
+    assert lengths.max() <= 16 and np.exp2(-lengths[lengths > 0].astype(float)).sum() == 1 and ((lengths > 0) == (counts > 0)).all()
+    ids = rng.choice(np.flatnonzero(counts), 5000)
+    ends = np.array([0, 1, 130, 4000, 5000])
+    payload, marks = token_files.encode(ids, ends, lengths, token_files.canonical_codes(lengths))
+    assert (token_files.decode(payload, marks, np.diff(ends, prepend=0), token_files.decoding_table(lengths)) == ids).all()
+    assert token_files.code_lengths(np.array([0, 7])).tolist() == [0, 1]
+
+
+def test_language(spark, empty):
+    rows = [(i, text_of(i, 40) if i % 2 else "уж вы сени мои сени новые " * 5, "gr" if i % 2 else "ru") for i in range(200)]
+    table = spark.createDataFrame(rows + [(900, None, "gr"), (901, "12 !", None), (902, "", "gr"), (None, "сени", None)], "doc_id long, text string, lang string")
+    got = rows_of(langid.op7(spark, table))
+    by = {r["doc_id"]: r for r in got}
+    assert all(by[i]["lang_pred"] == rows[i][2] for i in range(200)) and all(0 <= r["score"] <= 1 for r in got)
+    assert [by[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and by[None]["held_out"] is False
+    assert all(by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(200))
+    assert langid.op7(spark, empty).count() == 0
+
+
+def test_gradients():
+    network, rng = langid.Network(["a", "b"], 3), np.random.default_rng(0)
+    network.weights = {k: v.astype(np.float64) for k, v in network.weights.items()}
+    codes, mask, targets = rng.integers(97, 103, (6, 4)).astype(np.uint8), np.ones((6, 4)), np.array([0, 1, 0, 1])
+    mask[4:, 2] = 0
+    _, grads = network.gradients(codes, mask, targets)
+    for name, at in (("byte", (0, 98, 1)), ("byte", (1, 99, 7)), ("state", (0, 1, 2)), ("state", (1, 2, 8)), ("out", (4, 1)), ("bias", (0,))):
+        losses = []
+        for step in (1e-3, -1e-3):
+            network.weights[name][at] += step
+            losses.append(network.gradients(codes, mask, targets)[0])
+            network.weights[name][at] -= step
+        assert abs((losses[0] - losses[1]) / 2e-3 - grads[name][at]) < 2e-3
+
+
+def test_jaccard(spark, docs, empty):
+    rng = np.random.default_rng(1)
+    base = [text_of(50 + i, 80).split() for i in range(4)]
+    texts = [t or "" for t in TEXTS]
+    for i in range(60):
+        own = list(base[i % 4])
+        for _ in range(int(rng.integers(0, 4))):
+            own[int(rng.integers(0, len(own)))] = f"new{i}"
+        texts.append(" ".join(own))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for k, percent, got in ((4, 85, jaccard.op8(spark, table)), (5, 80, jaccard.similar_groups(table))):
+        lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        words = [re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower)) for t in texts]
+        sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()) for w in words]
+        least = list(range(len(sets)))
+        changed = True
+        while changed:
+            changed = False
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets[:i]):
+                    if a and b and 100 * len(a & b) >= percent * len(a | b) and least[i] != least[j]:
+                        least[i] = least[j] = min(least[i], least[j])
+                        changed = True
+        got = rows_of(got)
+        assert [r["n_shingles"] for r in got] == [len(s) for s in sets]
+        assert [r["component_id"] for r in got] == least
+    assert jaccard.op8(spark, empty).count() == 0 and jaccard.op8(spark, docs).count() == len(TEXTS) + 1
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(0)
+    vectors = [(i, [float(x) for x in rng.normal(0, 0.2, 8).astype(np.float32)]) for i in range(300)]
+    vectors += [(300, vectors[0][1]), (320, None), (340, [float("nan")] * 8), (360, [None] * 8)]
+    got = rows_of(topk.op9(spark, spark.createDataFrame(vectors, "vec_id long, embedding array<float>")), "query_id")
+    good = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in vectors[:301]]
+    for q, v in good:
+        if q % 20 == 0:
+            want = sorted((-int(v @ w), i) for i, w in good if i != q)[:20]
+            assert sorted((r["rank"], -r["score"], r["vec_id"]) for r in got if r["query_id"] == q) == [(n, *x) for n, x in enumerate(want, 1)]
+    few = topk.op9(spark, spark.createDataFrame(vectors[:3], "vec_id long, embedding array<float>"))
+    assert few.count() == 2
+    assert topk.op9(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_toxicity(spark, empty):
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(400):
+        own = text_of(1000 + i, 60).split()
+        for _ in range(int(rng.integers(1, 12)) if i % 4 == 0 else 0):
+            own.insert(int(rng.integers(0, len(own))), ["nasty", "vile", "rotten"][int(rng.integers(3))] + ".")
+        rows.append((i, " ".join(own)))
+    table = spark.createDataFrame(rows + [(1000, None), (1001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(5, None), (7777, 1)], "doc_id long, toxic int")
+    got = rows_of(toxicity.op5(spark, table, labels))
+    wrong = [r["doc_id"] for r in got if r["toxic"] != (r["doc_id"] < 400 and r["doc_id"] % 4 == 0)]
+    assert len(wrong) <= 8 and all(0 <= r["severity"] <= toxicity.GRADES - 1 for r in got)
+    many = [r["severity"] for r in got if r["doc_id"] < 400 and rows[r["doc_id"]][1].count(".") >= 9]
+    few = [r["severity"] for r in got if r["doc_id"] < 400 and rows[r["doc_id"]][1].count(".") in (1, 2)]
+    assert np.mean(many) > np.mean(few) + 0.5
+    assert toxicity.op5(spark, table, labels.filter("toxic = 0")).count() == 402 and toxicity.op5(spark, empty, labels).count() == 0

@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal |
         return record({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": [h.tobytes() for h, _ in found], "counts": [c.astype("<u4").tobytes() for _, c in found]}, {"words": pa.binary(), "counts": pa.binary()})
 
     joined = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")  # 3 * sample rows of two numbers
-    table = by_batch(joined, counts, "doc_id long, toxic int, words binary, counts binary").toPandas().sort_values("doc_id").drop_duplicates("words")  # copies count once
+    table = by_batch(joined, counts, "doc_id long, toxic int, words binary, counts binary").toPandas().sort_values("doc_id").drop_duplicates(["words", "counts"])  # copies count once
     toxic = table["toxic"].to_numpy(int)
     if toxic.min(initial=1) == toxic.max(initial=0):
         return None
