@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal |
     joined = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")  # 3 * sample rows of two numbers
     table = by_batch(joined, counts, "doc_id long, toxic int, words binary, counts binary").toPandas().sort_values("doc_id").drop_duplicates(["words", "counts"])  # copies count once
     toxic = table["toxic"].to_numpy(int)
-    if toxic.min(initial=1) == toxic.max(initial=0):
+    if toxic.min(initial=1) >= toxic.max(initial=0):
         return None
     words = [np.frombuffer(x, np.uint64) for x in table["words"]]
     times = [np.frombuffer(x, "<u4").astype(float) for x in table["counts"]]
