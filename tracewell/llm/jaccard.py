@@ -37,7 +37,7 @@ from tracewell.llm.shared import by_batch, by_partition, partitions, record, shi
 #: Shingles kept in the table of heavy ones, at most; it is broadcast (9 bytes each).
 HEAVY = 1 << 21
 #: A shingle in fewer prefixes than this is never heavy.
-LIGHT = 32
+LIGHT = 3
 #: Slots of the bitmap that picks the texts to verify (an eighth as many bytes).
 SLOTS = 1 << 22
 #: Comparisons with a pivot before pairs across components are made.
