@@ -6,7 +6,9 @@ first, by hash, then the heavy ones by ascending count class and hash.  If two
 sets reach the threshold, their prefixes of n - ceil(t n) + l shingles share at
 least l.  Each set picks its own l from the estimated cost of its candidates: a
 prefix whose shingles occur in many prefixes grows longer and must share more.
-A pair is verified only if it shares the smaller l of the two.
+A pair of sizes n and m needs an overlap of o, so its first l common shingles are
+among the first n - o + l and m - o + l; others don't count.  A pair is verified
+only if it so shares the smaller l of the two.
 
 Dense groups aren't paired out: first each shingle's least set is compared with
 the others of its list (as many pairs as postings), and what links is merged into
@@ -90,9 +92,10 @@ def _postings(nodes: DataFrame) -> DataFrame:
         own = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
         times = np.array([len(x) for x in own])
         rows = pa.array(np.repeat(np.arange(len(own)), times))
-        return record({"shingle": np.concatenate(own), **{c: batch.column(c).take(rows) for c in ("node", "n", "l")}})
+        places = np.concatenate([np.arange(x, dtype=np.int32) for x in times])
+        return record({"shingle": np.concatenate(own), **{c: batch.column(c).take(rows) for c in ("node", "n", "l")}, "place": places})
 
-    return by_batch(nodes.filter("n > 0").select("node", "n", "l", "shingles"), run, "shingle long, node binary, n int, l int")
+    return by_batch(nodes.filter("n > 0").select("node", "n", "l", "shingles"), run, "shingle long, node binary, n int, l int, place int")
 
 
 def _heavy(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -160,18 +163,21 @@ def node_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     per = W.partitionBy("shingle")
     shared = written(postings.withColumn("c", F.count("*").over(per)).filter("c > 1").drop("c"), "postings")
 
-    def near(x: str, y: str):
-        return (100 * F.least(x, y)) >= percent * F.greatest(x, y)
+    def counts(x: str, y: str):
+        """Whether a shared shingle counts for the pair: sizes near enough, and early enough in both prefixes."""
+        n, m, l = F.col(x + "n"), F.col(y + "n"), F.least(F.col(x + "l"), F.col(y + "l"))
+        need = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col(x + "place") < n - need + l) & (F.col(y + "place") < m - need + l)
 
     def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs with sizes and both l, a row for each shared shingle: those that share enough."""
+        """Pairs with both l, a row for each shared shingle: those that share enough."""
         return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).filter("c >= l").select("a", "b")
 
     links = tried = labels = None
     for turn in range(PIVOTS):
         pick = F.min if turn == 0 else F.max
-        own = shared.withColumn("pivot", pick(F.struct("node", "n", "l", *(["label"] if turn else []))).over(per))
-        pairs = own.filter("node <> pivot.node").filter(near("n", "pivot.n"))
+        own = shared.withColumn("pivot", pick(F.struct("node", "n", "l", "place", *(["label"] if turn else []))).over(per))
+        pairs = own.filter("node <> pivot.node").filter(counts("", "pivot."))
         if turn:
             pairs = pairs.filter("label <> pivot.label")
         pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"), F.col("l").alias("la"), F.col("pivot.l").alias("lb"))
@@ -180,9 +186,9 @@ def node_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     # What is left: pairs across components.
     mixed = shared.withColumn("least", F.min("label").over(per)).withColumn("most", F.max("label").over(per)).filter("least <> most").drop("least", "most")
     mixed = written(mixed, "mixed")
-    x, y = (mixed.select("shingle", *[F.col(c).alias(c + s) for c in ("node", "n", "l", "label")]) for s in ("_x", "_y"))
-    pairs = x.join(y, "shingle").filter("node_x < node_y and label_x <> label_y").filter(near("n_x", "n_y"))
-    pairs = enough(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("l_x").alias("la"), F.col("l_y").alias("lb")))
+    x, y = (mixed.select("shingle", *[F.col(c).alias(s + c) for c in ("node", "n", "l", "place", "label")]) for s in ("x_", "y_"))
+    pairs = x.join(y, "shingle").filter("x_node < y_node and x_label <> y_label").filter(counts("x_", "y_"))
+    pairs = enough(pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), F.col("x_l").alias("la"), F.col("y_l").alias("lb")))
     links, _, labels, _ = _merge(docs, rows, None, pairs, links, tried, k, percent)
     return rows.select("doc_id", "node", "n"), labels
 
@@ -196,7 +202,7 @@ def _merge(docs, rows, shared, pairs, links, tried, k, percent):
     labels = components(links)
     if shared is not None:
         bare = shared.drop("label")
-        shared = written(bare.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("shingle", "node", "n", "l", "label"), "postings")
+        shared = written(bare.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("shingle", "node", "n", "l", "place", "label"), "postings")
     return links, tried, labels, shared
 
 
