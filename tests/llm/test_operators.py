@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -228,3 +229,27 @@ def test_toxicity(spark, empty):
     few = [r["severity"] for r in got if r["doc_id"] < 400 and rows[r["doc_id"]][1].count(".") in (1, 2)]
     assert np.mean(many) > np.mean(few) + 0.5
     assert toxicity.op5(spark, table, labels.filter("toxic = 0")).count() == 402 and toxicity.op5(spark, empty, labels).count() == 0
+
+
+def test_toxicity_small_tables(spark):
+    """Words of few toxic documents count: in a small table, and those of a rare language."""
+
+    def recall(n, toxic, rare):
+        rows = []
+        for i in range(n):
+            bad = [["nasty", "vile"], ["garstig", "schlimm"]][i < rare] if i < toxic else []
+            own = text_of(3000 + i, 60).split()
+            rows.append((i, " ".join(own[:20] + bad + own[20:] + bad)))
+        labels = spark.createDataFrame([(i, int(i < toxic)) for i in range(n)], "doc_id long, toxic int")
+        got = rows_of(toxicity.op5(spark, spark.createDataFrame(rows, "doc_id long, text string"), labels))
+        return [r["toxic"] for r in got]
+
+    for n, toxic, rare in ((87, 11, 0), (400, 50, 6)):
+        got = recall(n, toxic, rare)
+        assert all(got[:toxic]) and sum(got[toxic:]) <= n // 50
+
+
+def test_chance():
+    for bad, good in ((3, 0), (5, 2), (1, 9)):
+        n, ways = bad + good, [math.comb(11, k) * math.comb(76, bad + good - k) for k in range(bad + good + 1)]
+        assert np.isclose(np.exp(toxicity.log_chance(np.array([bad]), np.array([good]), 11, 76))[0], sum(ways[bad:]) / math.comb(87, n))

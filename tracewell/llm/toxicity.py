@@ -3,7 +3,8 @@
 P(grade <= j) = sigmoid(threshold_j - w x): one weight for each word, shared by all
 ordered thresholds.  x holds the square roots of the counts of the words and beginnings of
 words that mark toxic documents most clearly in a bounded sample of labelled rows (``SAMPLE``
-of each label).  Labels say only whether a document is toxic; a toxic document's
+of each label): those in so many toxic ones that chance alone would seldom do it
+(``CHANCE``, an exact test, so small tables and rare languages get words too).  Labels say only whether a document is toxic; a toxic document's
 grade, 1 to ``GRADES`` - 1, is the quantile of its amount of tell-tale words among
 the toxic ones.  Every text is scored whole.
 
@@ -28,8 +29,8 @@ from tracewell.llm.shared import NOT_LETTER, by_batch, record, word_hashes
 SAMPLE = 2500
 #: Words with a weight, the documents that must hold one, and grades.
 WORDS, LEAST, GRADES = 1500, 3, 4
-#: Standard errors by which a word must tell them apart; beginnings of words that count, in bytes.
-CLEAR, BEGINNINGS = 8.0, (4, 6)
+#: Probability, at most, that a word without a say is in so many toxic documents; beginnings of words that count, in bytes.
+CHANCE, BEGINNINGS = 0.01, (4, 6)
 STEPS, RATE, RIDGE = 500, 0.05, 3e-4
 
 
@@ -87,6 +88,19 @@ def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.nd
     return state[:width], state[width] + np.concatenate([[0], np.cumsum(np.exp(state[width + 1 :]))])
 
 
+def log_chance(bad: np.ndarray, good: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Log of the probability that of bad + good documents drawn from toxic + clean ones ``bad`` or more are toxic (Fisher's exact test)."""
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, toxic + clean + 1)))])
+    ways = lambda n, k: log[n] - log[k] - log[n - k]
+    pairs, of = np.unique(np.c_[bad, bad + good].astype(np.int64), axis=0, return_inverse=True)
+    out = np.empty(len(pairs))
+    for i, (least, n) in enumerate(pairs.tolist()):
+        k = np.arange(max(least, n - clean), min(n, toxic) + 1)
+        terms = ways(toxic, k) + ways(clean, n - k) - ways(toxic + clean, n)
+        out[i] = terms.max() + np.log(np.exp(terms - terms.max()).sum())
+    return out[of.ravel()]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | None:
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = dict(known.groupBy("toxic").count().collect())  # two rows
@@ -116,8 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal |
     odds = np.log((bad + 0.5) / (toxic.sum() - bad + 0.5)) - np.log((good + 0.5) / ((1 - toxic).sum() - good + 0.5))
     share = toxic.mean()
     due = (bad + good) * share  # if the word had nothing to do with the label
-    strength = (bad - due) / np.sqrt(due * (1 - share))
-    strength[(bad + good < LEAST) | (strength < CLEAR)] = 0
+    strength, likely = np.zeros(len(keys)), np.flatnonzero((bad + good >= LEAST) & (bad > due))
+    chance = log_chance(bad[likely], good[likely], int(toxic.sum()), int((1 - toxic).sum()))
+    strength[likely] = np.where(chance <= np.log(CHANCE), -chance, 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[: min(WORDS, int((strength > 0).sum()))])
     if not len(chosen):
         return None
