@@ -107,6 +107,20 @@ def test_mixing(spark, docs, empty):
     assert sum(len(t.split()) for t in mixed.text) == got.taken.sum() and list(mixed.columns) == docs.columns
 
 
+def test_mixing_small_sources(spark):
+    """Taken words come near the target of every source: a tail beside a hot source, and tiny sources alone."""
+    for sizes in ([5, 10, 65, 130, 200, 100, 1, 20_000], [5, 5, 5, 40, 40, 40]):
+        rows = [(i, text_of(100 + i, n), f"s{i}") for i, n in enumerate(sizes)]
+        table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mixing.op4(spark, table).toPandas()
+        for r in got.itertuples():
+            width = min(64, -(-r.source_size // 16))
+            assert abs(r.taken - r.target) <= 1.5 * width and r.taken <= 3 * r.size and (r.target < 1 or r.taken), r
+            assert r.target < 3 * r.size or r.taken == 3 * r.size
+        mixed = mixing.mixed_documents(table).toPandas()
+        assert set(mixed.doc_id) == set(got.doc_id[got.taken > 0]) and sum(len(t.split()) for t in mixed.text) == got.taken.sum()
+
+
 def test_tokens_and_packing(spark, docs, empty):
     codec = tokens.encoder(tokens.default_path())
     for t in TEXTS:

@@ -1,7 +1,9 @@
 """Mixing sources to target weights by blocks of words.
 
 The words of a source's documents, in hashed document order, form one stream that
-is cut into blocks of ``BLOCK`` words.  The mix is dealt into output shards.  Each
+is cut into blocks of ``BLOCK`` words, a small source into ``FEWEST`` blocks or so of
+fewer.  A source's quota counts blocks of its own mean size, as the last is partial.
+The mix is dealt into output shards.  Each
 shard draws how many of its slots go to each source: multinomial draws whose
 probabilities are what the sources have left of their quotas, so that totals
 close exactly.  The i-th slot of a source reads the block that the source's
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.shared import WORD, by_batch, by_partition, partitions, record, word_hashes, written
 
 BLOCK = 64
+#: Blocks that a source is cut into at least, as far as its words go: quotas are whole blocks.
+FEWEST = 16
 #: Output shards, at most, and slots of a shard that the number of shards aims at.
 SHARDS, SLOTS = 2048, 4096
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -57,6 +61,11 @@ def targets_of(sizes: np.ndarray, weights: np.ndarray, most: int = MOST) -> np.n
     return targets
 
 
+def quotas_of(targets: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, most: int = MOST) -> np.ndarray:
+    """Slots of each source: its target in blocks of its own mean size, as its last block is partial."""
+    return np.minimum(np.rint(targets * blocks / np.maximum(sizes, 1)).astype(np.int64), most * blocks)
+
+
 def shard_counts(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """[shard, source] slots: multinomial by what quotas have left; columns add up to the quotas."""
     rng = np.random.default_rng(seed)
@@ -110,7 +119,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, weights: tuple = WEIGHTS, most: int = MOST, seed: int = 0):
         spark = docs.sparkSession
-        self.block, self.spark, self.seed = block, spark, seed
+        self.spark, self.seed = spark, seed
         sized = written(_sized(docs), "sizes")
         salts = max(16, partitions(spark))
         salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(salts)).cast("int"))
@@ -124,17 +133,18 @@ class Mix:
         before = np.cumsum(before, axis=1) - before
         wide = np.array([weights[i % len(weights)] for i in range(len(self.sources))], dtype=float)
         self.targets = targets_of(self.sizes, wide, most)
-        self.blocks = -(-self.sizes // block)
-        self.quota = np.minimum(np.rint(self.targets / block).astype(np.int64), most * self.blocks)
+        self.width = np.clip(-(-self.sizes // FEWEST), 1, block)
+        self.blocks = -(-self.sizes // self.width)
+        self.quota = quotas_of(self.targets, self.sizes, self.blocks, most)
         self.places = self._placed(salted, before)
 
     def _placed(self, salted: DataFrame, before: np.ndarray) -> DataFrame:
-        """(doc_id, source_no, size, start): where each document's words start in its source's stream."""
-        names = self.spark.createDataFrame([(k[0], k[1], i, [int(x) for x in before[i]]) for i, k in enumerate(self.sources)], "null boolean, name string, source_no int, before array<long>")
+        """(doc_id, source_no, width, size, start): where each document's words start in its source's stream."""
+        names = self.spark.createDataFrame([(k[0], k[1], i, int(self.width[i]), [int(x) for x in before[i]]) for i, k in enumerate(self.sources)], "null boolean, name string, source_no int, width int, before array<long>")
         order = W.partitionBy("key", "salt").orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest").rowsBetween(W.unboundedPreceding, -1)
         starts = salted.withColumn("inner", F.coalesce(F.sum("size").over(order), F.lit(0)))
         joined = starts.join(F.broadcast(names), (F.col("key.null") == names["null"]) & (F.col("key.name") == names["name"]))
-        return joined.select("doc_id", "digest", "source_no", "size", (F.col("inner") + F.element_at("before", F.col("salt") + 1)).alias("start"))
+        return joined.select("doc_id", "digest", "source_no", "width", "size", (F.col("inner") + F.element_at("before", F.col("salt") + 1)).alias("start"))
 
     def slots(self) -> DataFrame:
         """(shard, slot, source_no, pass, block): what each slot of each output shard reads."""
@@ -157,7 +167,7 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """(doc_id, digest, source_no, size, block, words, from): the part of each block that a document fills."""
-        b = F.lit(self.block)
+        b = F.col("width")
         spans = self.places.filter("size > 0")
         first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
         cut = spans.withColumn("block", F.explode(F.sequence(first, last)))
