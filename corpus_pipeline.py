@@ -32,14 +32,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the least doc_id, of each group linked by five-word shingles at 0.8 or more.
+    """Keeps one row, one with the least doc_id, of each group linked by five-word shingles at 0.8 or more.
 
-    Repeated rows of a doc_id are one document.
+    Rows are told apart by their shingle sets, not by doc_id: a null or repeated doc_id
+    with different texts is as many documents.  Rows without a word are one document if
+    doc_id and text are equal.
     """
     ship(spark)
-    groups = jaccard.similar_groups(docs, k=5, percent=80)
-    drop = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

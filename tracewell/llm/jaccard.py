@@ -217,5 +217,27 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` for each component, one with the least doc_id (null last); rows are told apart by doc_id and node.
+
+    Wordless rows are in no component: those equal in doc_id and text count once.
+    """
+    rows, labels = node_links(docs, k, percent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node"))
+    named = rows.filter("n > 0").groupBy("node").agg(least.alias("least")).join(labels, "node", "left")
+    chosen = named.groupBy(F.coalesce("label", "node")).agg(F.min("least").alias("x")).select(F.col("x.null").alias("__null"), F.col("x.id").alias("__id"), F.col("x.node").alias("__node"))
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes = [blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in shingle_sets(batch.column("text"), k)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, "__node"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    marked = by_batch(docs, mark, schema + ", __node binary").withColumns({"__null": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
+    key = ["__null", "__id", "__node"]
+    kept = marked.filter("__node is not null").dropDuplicates(key).join(chosen, key, "left_semi")  # copies of one row meet as partial sums first
+    bare = marked.filter("__node is null").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionByName(bare.select(*docs.columns))
+
+
 def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return similar_groups(docs, k=4, percent=85)
