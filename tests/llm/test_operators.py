@@ -63,6 +63,13 @@ def test_pii(spark, docs, empty):
     assert pii.op1(spark, empty).count() == 0
 
 
+def test_redacted_overlaps(spark):
+    """No part of a span stays: where two overlap, their union goes."""
+    texts = ["+44 20 7946 0958.joe@x.org end", "a +44 20 7946 0958.joe@x.org, b@c.de"]
+    got = rows_of(pii.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [r["text"] for r in got] == ["[PHONE] end", "a [PHONE], [EMAIL]"]
+
+
 def test_fingerprints(spark, docs, empty):
     got = rows_of(merkle.op2(spark, docs.dropDuplicates(["doc_id"])))
     for i, r in enumerate(got):

@@ -229,7 +229,10 @@ def op1(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs' columns with every span replaced by its kind, as in ``[EMAIL]``; of spans that overlap the first, then longest, counts."""
+    """docs' columns with every span replaced by its kind, as in ``[EMAIL]``; spans that overlap are one.
+
+    Their union goes; the kind is that of the first, then longest.
+    """
     found = with_spans(docs, model)
     spans = F.array_sort(F.transform(F.concat(*[F.col(f"base_{k}") for k in BASE], F.col("more_spans")), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -237,7 +240,7 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def step(state: Column, s: Column) -> Column:
         free = s["start"] >= state["at"]
         piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(free, -s["back"]).otherwise(state["at"]).alias("at"), F.when(free, F.concat(state["parts"], F.array(piece))).otherwise(state["parts"]).alias("parts"))
+        return F.struct(F.greatest(state["at"], -s["back"]).alias("at"), F.when(free, F.concat(state["parts"], F.array(piece))).otherwise(state["parts"]).alias("parts"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     whole = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
