@@ -13,7 +13,9 @@ only if it so shares the smaller l of the two.
 Dense groups aren't paired out: first each shingle's least set is compared with
 the others of its list (as many pairs as postings), and what links is merged into
 components; the join then makes pairs only across components, which loses no
-component.  Verification counts the intersection of whole sets, read from the
+component.  So the operator gives exact components, not links: links between different
+texts of one component aren't all made, and neither they nor their number come out.
+Verification counts the intersection of whole sets, read from the
 texts again.
 
 Nulls, empties, ties: a null or wordless text has an empty set and links with
