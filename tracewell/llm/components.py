@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import written
+from tracewell.llm.shared import forget, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,12 +17,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     both = written(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"), F.lit(True).alias("changed")), "labels")
     while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("m"))
         least = labels.join(near, F.col("node") == F.col("u")).select("node", "label", F.least("label", "m").alias("next"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
         moved = written(least.join(jump, F.col("next") == F.col("at"), "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("changed")), "labels")
-        labels = moved.select("node", "label")
+        forget(labels)
+        labels = moved
         if not moved.filter("changed").limit(1).count():
-            return labels
+            forget(both)
+            out = moved.select("node", "label")
+            out._written_to = moved._written_to
+            return out

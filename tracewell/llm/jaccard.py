@@ -1,27 +1,38 @@
 """Exact Jaccard self-join of documents' word shingles with adaptive multi-match prefixes.
 
 Every distinct shingle set is a node; documents with equal sets share one, so
-copies are never paired.  Shingles have one global order: those in few prefixes
-first, by hash, then the heavy ones by ascending count class and hash.  If two
-sets reach the threshold, their prefixes of n - ceil(t n) + l shingles share at
-least l.  Each set picks its own l from the estimated cost of its candidates: a
-prefix whose shingles occur in many prefixes grows longer and must share more.
-A pair of sizes n and m needs an overlap of o, so its first l common shingles are
-among the first n - o + l and m - o + l; others don't count.  A pair is verified
-only if it so shares the smaller l of the two.
-
-Dense groups aren't paired out: first each shingle's least set is compared with
-the others of its list (as many pairs as postings), and what links is merged into
-components; the join then makes pairs only across components, which loses no
-component.  So the operator gives exact components, not links: links between different
-texts of one component aren't all made, and neither they nor their number come out.
-Verification counts the intersection of whole sets, read from the
-texts again.
-
-Nulls, empties, ties: a null or wordless text has an empty set and links with
-nothing; repeated rows give a row each; a null doc_id is carried through, but
-never names a component that has another id; further columns are ignored; an
-empty table gives no rows.
+copies are never paired.  Shingles have one global order: by the class (log2) of
+how often prefixes hold them, then by hash.  Classes come from a table of
+``SLOTS`` bytes, whatever the corpus: shingles that share a slot share the
+greatest class in it, which blurs the order and loses nothing, as any order does.
+
+If two sets reach the threshold, their prefixes of n - ceil(t n) + l shingles
+share at least l.  Each set picks its own l from the estimated cost of its
+candidates: a prefix whose shingles occur in many prefixes grows longer and must
+share more.  A pair of sizes n and m needs an overlap of o, so its first l common
+shingles are among the first n - o + l and m - o + l.  A pair is verified only if
+it so shares the smaller l of the two.
+
+Shingles in one prefix only are dropped.  The others' lists are dealt out as
+pairs of chunks of about ``CHUNK`` nodes, so that no task holds a list of any
+length.  Inside a task, pairs are tested by size, place and a parity sketch: every
+shingle flips one bit, so two sets differ by at least as many shingles as their
+sketches differ in bits, and a pair that differs too much can't reach the
+threshold.  Only what passes leaves the task.
+
+Dense groups aren't paired out.  First each node is compared with one pivot of its
+size in each list, and what links is merged into components.  Then come rounds
+over the lists that still hold several components: a node's best partners in
+other components, ``QUOTA`` of them and eight times as many in each round, until a
+round has left none out.  So the operator gives exact components, not links:
+links inside a component aren't all made, and their number doesn't come out of it.
+Verification counts the intersection of whole sets, read from the texts again.
+
+Nulls, empties, ties, long texts: a null or wordless text has an empty set and
+links with nothing; repeated rows give a row each; a null doc_id is carried
+through, but never names a component that has another id; a long text is one row
+of its set like any other (20,000 words are 160 kB); further columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,24 +43,27 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.shared import by_batch, by_partition, partitions, record, shingle_sets, written
+from tracewell.llm.shared import by_batch, by_partition, forget, partitions, record, shingle_sets, written
 
-#: Shingles kept in the table of heavy ones, at most; it is broadcast (9 bytes each).
-HEAVY = 1 << 21
-#: A shingle in fewer prefixes than this is never heavy.
+#: Slots of the table of count classes, a byte each; it is broadcast.
+SLOTS, BLOCKS = 1 << 22, 64
+#: A shingle in fewer prefixes than this has class 0.
 LIGHT = 3
-#: Slots of the bitmap that picks the texts to verify (an eighth as many bytes).
-SLOTS = 1 << 22
-#: Comparisons with a pivot before pairs across components are made.
-PIVOTS = 2
-#: Parts into which a pivot's comparisons are dealt.
+#: Bits of the bitmap that picks the texts to verify.
+PICKS = 1 << 22
+#: Nodes of a list that a task compares with as many others.
+CHUNK = 2048
+#: Partners that a node has in the first round after the pivots.
+QUOTA = 4
+#: Parts into which the comparisons with one node are dealt.
 SALTS = 32
-
-NODE = "node binary, n int, l int, shingles binary"
+#: Bytes of a sketch at most; it has two bits for each shingle of a smaller set.
+SKETCH = 128
+#: Pairs tested at a time.
+TESTED = 1 << 17
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -57,164 +71,325 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def overlap(n, m, percent: int):
+    """Shingles that sets of sizes n and m share at the threshold."""
+    return -(-(percent * (n + m)) // (100 + percent))
+
+
 def matches(p: int, cost: float) -> int:
-    """How many shared shingles to ask for: more for long prefixes, and for those with many candidates per shingle."""
-    return 1 + (p // 8) * min(4, 1 + int(np.log2(max(1.0, cost / p))))
+    """How many shared shingles to ask for: one more for each eight of a prefix and doubling of candidates per shingle."""
+    return 1 + (p // 8) * min(4, int(np.log2(max(1.0, cost / p))))
 
 
-def _nodes(docs: DataFrame, k: int, percent: int, heavy=None) -> DataFrame:
-    """Each row's node, set size and prefix, without and with the table of heavy shingles."""
+def sketch(own: np.ndarray) -> bytes:
+    """The parity of how many shingles fall on each bit."""
+    size = 8
+    while size < SKETCH and 4 * size < len(own):
+        size *= 2
+    return np.packbits((np.bincount(((own >> np.uint64(40)) & np.uint64(8 * size - 1)).astype(np.int64), minlength=8 * size) & 1).astype(np.uint8)).tobytes()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, classes = heavy.value if heavy is not None else (np.empty(0, np.uint64), np.empty(0, np.uint8))
-        nodes, sizes, asked, prefixes = [], [], [], []
-        for own in shingle_sets(batch.column("text"), k):
-            n = len(own)
-            nodes.append(blake2b(own.tobytes(), digest_size=16).digest())
-            sizes.append(n)
-            p, l = prefix_length(n, percent) if n else 0, 1
-            if n and len(keys):
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                grade = np.where(keys[at] == own, classes[at], 0)
-                if grade.any():
-                    own = own[np.argsort(grade, kind="stable")]
-                    grade = np.sort(grade, kind="stable")
-                l = matches(p, float(np.exp2(grade[:p].astype(float)).sum()))
-            elif n and heavy is not None:
-                l = matches(p, float(p))
-            asked.append(l)
-            prefixes.append(own[: p + l - 1].tobytes())
-        return record({"doc_id": batch.column("doc_id"), "node": nodes, "n": sizes, "l": asked, "shingles": prefixes}, {"node": pa.binary(), "n": pa.int32(), "l": pa.int32(), "shingles": pa.binary()})
-
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, " + NODE)
 
+def _name(own: np.ndarray) -> bytes:
+    return blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def _rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Each row's node and set size, and the first shingles of its set by hash."""
 
-def _postings(nodes: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
-        times = np.array([len(x) for x in own])
-        rows = pa.array(np.repeat(np.arange(len(own)), times))
-        places = np.concatenate([np.arange(x, dtype=np.int32) for x in times])
-        return record({"shingle": np.concatenate(own), **{c: batch.column(c).take(rows) for c in ("node", "n", "l")}, "place": places})
+        own = list(shingle_sets(batch.column("text"), k))
+        first = [x[: prefix_length(len(x), percent) if len(x) else 0].tobytes() for x in own]
+        return record({"doc_id": batch.column("doc_id"), "node": [_name(x) for x in own], "n": [len(x) for x in own], "shingles": first}, {"node": pa.binary(), "n": pa.int32(), "shingles": pa.binary()})
 
-    return by_batch(nodes.filter("n > 0").select("node", "n", "l", "shingles"), run, "shingle long, node binary, n int, l int, place int")
+    return by_batch(docs, run, "doc_id long, node binary, n int, shingles binary")
 
 
-def _heavy(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending shingles in very many prefixes, and the class (log2) of how many; HEAVY of them at most."""
-    counts = written(_postings(nodes).groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= LIGHT), "heavy")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(LIGHT, -(-total // HEAVY))  # so many occurrences each: no more than HEAVY of them
-    found = counts.filter(F.col("n") >= least).toPandas()
-    keys = found["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.log2(found["n"].to_numpy(float))[order].astype(np.uint8)
+def _classes(rows: DataFrame) -> np.ndarray:
+    """The class of each slot; ``BLOCKS`` rows of ``SLOTS`` bytes in all reach the driver."""
 
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return record({"shingle": np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=np.int64)})
 
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold; one document of each node is read."""
-    spark = docs.sparkSession
-    nodes = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    ends = nodes.groupBy("node").agg(F.min_by(F.struct("doc_id"), F.col("doc_id").isNull()).alias("x")).select("x.doc_id")
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
-    wanted = np.zeros(SLOTS, dtype=bool)
-    for part in [ends.select(slot("doc_id").alias("s")).distinct().toPandas()["s"]]:  # SLOTS values at most
-        wanted[part.to_numpy(int)] = True
-    picked = spark.sparkContext.broadcast(np.packbits(wanted))
+    counts = by_batch(rows.filter("n > 0").dropDuplicates(["node"]).select("shingles"), listed, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= LIGHT)
+    slots = counts.groupBy(F.col("shingle").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("c"))
+    width = SLOTS // BLOCKS
+    dealt = slots.repartition(BLOCKS, F.floor(F.col("slot") / width))
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = list(shingle_sets(batch.column("text"), k))
-        return record({"node": [blake2b(x.tobytes(), digest_size=16).digest() for x in own], "shingles": [x.tobytes() for x in own]}, {"node": pa.binary(), "shingles": pa.binary()})
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot, c = batch.column("slot").to_numpy(), batch.column("c").to_numpy()
+            for b in np.unique(slot // width).tolist():
+                own = slot // width == b
+                blocks.setdefault(b, np.zeros(width, np.uint8))[slot[own] % width] = c[own]
+        for b, x in blocks.items():
+            yield record({"block": [b], "classes": [x.tobytes()]}, {"block": pa.int64(), "classes": pa.binary()})
 
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = batch.column("slot").to_numpy()
-        return batch.filter(pa.array((picked.value[s >> 3] >> (7 - (s & 7)) & 1).astype(bool))).select(["doc_id", "text"])
+    out = np.zeros(SLOTS, np.uint8)
+    for r in by_partition(dealt, packed, "block long, classes binary").collect():
+        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["classes"], np.uint8)
+    return out
+
+
+def _nodes(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
+    """A row (id, node, n, l, prefix, sketch) for each distinct set; the prefix is in the global order."""
 
-    texts = by_batch(docs.withColumn("slot", slot("doc_id")), keep, "doc_id long, text string")
-    whole = written(by_batch(texts, sets, "node binary, shingles binary").dropDuplicates(["node"]), "sets", "none")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        table, out = classes.value, {}
+        for own in shingle_sets(batch.column("text"), k):
+            n = len(own)
+            if not n or (node := _name(own)) in out:
+                continue
+            grade = table[(own & np.uint64(SLOTS - 1)).astype(np.int64)]
+            p, order = prefix_length(n, percent), np.argsort(grade, kind="stable")
+            l = min(matches(p, float(np.exp2(grade[order[:p]].astype(float)).sum())), n - p + 1)
+            out[node] = (n, l, own[order[: p + l - 1]].tobytes(), sketch(own))
+        if not out:
+            return None
+        n, l, prefix, bits = zip(*out.values(), strict=True)
+        return record({"node": list(out), "n": n, "l": l, "prefix": prefix, "sketch": bits}, {"node": pa.binary(), "n": pa.int32(), "l": pa.int32(), "prefix": pa.binary(), "sketch": pa.binary()})
+
+    once = by_batch(docs.select("text"), run, "node binary, n int, l int, prefix binary, sketch binary").dropDuplicates(["node"])
+    return once.select(F.monotonically_increasing_id().alias("id"), "node", "n", "l", "prefix", "sketch")
+
+
+def _postings(nodes: DataFrame) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [np.frombuffer(x, dtype=np.int64) for x in batch.column("prefix").to_pylist()]
+        times = np.array([len(x) for x in own])
+        return record({"shingle": np.concatenate(own), "id": np.repeat(batch.column("id").to_numpy(), times), "place": np.concatenate([np.arange(x, dtype=np.int32) for x in times])})
+
+    return by_batch(nodes.select("id", "prefix"), run, "shingle long, id long, place int")
+
+
+class _Lists:
+    """Rows of whole list parts, in the order of (shingle, i, j, n, id), as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.shingle, self.i, self.j, self.part, self.id, self.label, self.n, self.l, self.place = (batch.column(c).to_numpy() for c in ("shingle", "i", "j", "part", "id", "label", "n", "l", "place"))
+        self.sketches = batch.column("sketch")
+        offsets = np.frombuffer(self.sketches.buffers()[1], np.int32)[self.sketches.offset : self.sketches.offset + len(self.id) + 1].astype(np.int64)
+        self.width, self.at = np.diff(offsets), offsets[:-1]
+        self.bytes = np.frombuffer(self.sketches.buffers()[2], np.uint8)
+        first = np.ones(len(self.id), bool)
+        first[1:] = (self.shingle[1:] != self.shingle[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])
+        self.first = np.flatnonzero(first)
+        self.end = np.repeat(np.append(self.first[1:], len(self.id)), np.diff(np.append(self.first, len(self.id))))
+
+    def _matrix(self, width: int, rows: np.ndarray) -> np.ndarray:
+        """Sketches of rows, folded to ``width`` bytes."""
+        out = np.empty((len(rows), width), np.uint8)
+        for own in np.unique(self.width[rows]).tolist():
+            of = np.flatnonzero(self.width[rows] == own)
+            x = self.bytes[self.at[rows[of]][:, None] + np.arange(own)]
+            while x.shape[1] > width:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            out[of] = x
+        return out.view(np.uint64)
+
+    def passing(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of rows that may link, and by how much their sketches differ."""
+        n, m, l = self.n[a].astype(np.int64), self.n[b].astype(np.int64), np.minimum(self.l[a], self.l[b])
+        need = overlap(n, m, percent)
+        ok = (self.label[a] != self.label[b]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (self.place[a] < n - need + l) & (self.place[b] < m - need + l)
+        ok &= (self.i[a] == self.j[a]) | (self.part[a] != self.part[b])
+        a, b, most, total = a[ok], b[ok], (n + m - 2 * need)[ok], (n + m)[ok]
+        width, differ = np.minimum(self.width[a], self.width[b]), np.zeros(len(a), np.int64)
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            rows, to = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
+            x = self._matrix(w, rows)
+            differ[own] = np.bitwise_count(x[to[: len(own)]] ^ x[to[len(own) :]]).sum(axis=1)
+        ok = differ <= most
+        return a[ok], b[ok], differ[ok] / total[ok]
+
+    def with_pivots(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each row with the first of its list part and class of sizes."""
+        size = np.floor(np.log(self.n) * 8).astype(np.int64)
+        new = np.ones(len(self.id), bool)
+        new[1:] = size[1:] != size[:-1]
+        new[self.first] = True
+        pivot = np.flatnonzero(new)[np.cumsum(new) - 1]
+        rows = np.flatnonzero(~new)
+        yield pivot[rows], rows
+
+    def all_pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of a list part whose sizes are near enough, ``TESTED`` or so at a time."""
+        live, step, held, count = np.arange(len(self.id)), 1, [], 0
+        while len(live):
+            live = live[live + step < self.end[live]]
+            live = live[100 * self.n[live].astype(np.int64) >= percent * self.n[live + step].astype(np.int64)]  # sizes ascend
+            held.append((live, live + step))
+            count += len(live)
+            step += 1
+            if count >= TESTED or not len(live):
+                yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+                held, count = [], 0
+
+
+def _best(a: np.ndarray, b: np.ndarray, differ: np.ndarray, quota: int) -> np.ndarray:
+    """Which pairs are among the ``quota`` best of either end."""
+    keep = np.zeros(len(a), bool)
+    for end in (a, b):
+        order = np.lexsort((differ, end))
+        own = end[order]
+        first = np.ones(len(own), bool)
+        first[1:] = own[1:] != own[:-1]
+        begins = np.flatnonzero(first)
+        rank = np.arange(len(own)) - np.repeat(begins, np.diff(np.append(begins, len(own))))
+        keep[order[rank < quota]] = True
+    return keep
+
+
+def _candidates(met: DataFrame, percent: int, quota: int) -> DataFrame:
+    """(a, b, more): pairs of ids that may link, from lists in order; a null pair with ``more`` where some were left out.  quota 0: with pivots."""
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists, a, b, differ = _Lists(batch), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        more = False
+        for x, y in lists.all_pairs(percent) if quota else lists.with_pivots():
+            x, y, d = lists.passing(x, y, percent)
+            a, b, differ = np.concatenate([a, x]), np.concatenate([b, y]), np.concatenate([differ, d])
+            if quota:
+                keep = _best(a, b, differ, quota)
+                more |= not keep.all()
+                a, b, differ = a[keep], b[keep], differ[keep]
+        ends = np.unique(np.stack([np.minimum(lists.id[a], lists.id[b]), np.maximum(lists.id[a], lists.id[b])]), axis=1)
+        left, right = ends[0].tolist() + [None] * more, ends[1].tolist() + [None] * more
+        return record({"a": left, "b": right, "more": [x is None for x in left]}, {"a": pa.int64(), "b": pa.int64(), "more": pa.bool_()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch.column(c)[batch.num_rows - 1].as_py() for c in ("shingle", "i", "j")]
+            same = np.logical_and.reduce([batch.column(c).to_numpy() == x for c, x in zip(("shingle", "i", "j"), last, strict=True)])
+            cut = int(np.flatnonzero(same)[0])  # what follows may go on in the next batch
+            if cut:
+                yield found(pa.concat_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif held and [held[-1].column(c)[0].as_py() for c in ("shingle", "i", "j")] != last:
+                yield found(pa.concat_batches(held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield found(pa.concat_batches(held))
+
+    return by_partition(met, run, "a long, b long, more boolean")
+
+
+def _compared(pairs: DataFrame, blobs: DataFrame, holds) -> DataFrame:
+    """The pairs (a, b) for which ``holds(row of a, row of b)``; blobs: (id, n, l, own).  Comparisons with one node are dealt to ``SALTS`` tasks."""
+    spark = pairs.sparkSession
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    right = salted.join(whole, salted.b == whole.node).select("a", "salt", "b", "shingles")
-    left = salted.select("a", "salt").distinct().join(whole, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("binary").alias("b"), "shingles")
+    right = salted.join(blobs, salted.b == blobs.id).select("a", "salt", "b", "n", "l", "own")
+    left = salted.select("a", "salt").distinct().join(blobs, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "n", "l", "own")
     met = right.unionByName(left).repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.empty(0, np.uint64)
+        base = None
         for batch in batches:
             found: tuple[list, list] = ([], [])
-            for a, b, raw in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                own = np.frombuffer(raw, dtype=np.uint64)
+            for a, _, b, n, l, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = (n, l, np.frombuffer(raw, dtype=np.uint64))
                 if b is None:
-                    base = own
-                    continue
-                common = len(np.intersect1d(base, own, assume_unique=True))
-                if 100 * common >= percent * (len(base) + len(own) - common):
+                    base = row
+                elif holds(base, row):
                     found[0].append(a)
                     found[1].append(b)
-            yield record({"a": found[0], "b": found[1]}, {"a": pa.binary(), "b": pa.binary()})
+            yield record({"a": found[0], "b": found[1]}, {"a": pa.int64(), "b": pa.int64()})
 
-    return by_partition(met, compare, "a binary, b binary")
+    return by_partition(met, compare, "a long, b long")
+
+
+def _verified(docs: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough and whose whole sets reach the threshold; one document of each node is read."""
+    spark = docs.sparkSession
+
+    def shared(x: tuple, y: tuple) -> bool:
+        need, l = overlap(x[0], y[0], percent), min(x[1], y[1])
+        return len(np.intersect1d(x[2][: x[0] - need + l], y[2][: y[0] - need + l], assume_unique=True)) >= l
+
+    def similar(x: tuple, y: tuple) -> bool:
+        common = len(np.intersect1d(x[2], y[2], assume_unique=True))
+        return 100 * common >= percent * (x[0] + y[0] - common)
+
+    pairs = written(_compared(pairs, nodes.select("id", "n", "l", F.col("prefix").alias("own")), shared), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    names = written(nodes.select("id", "node").join(ends, "id", "left_semi"), "names")
+    of = rows.join(names.select("node"), "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("doc_id"), F.col("doc_id").isNull()).alias("x")).select("x.doc_id")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(PICKS)).cast("int")
+    wanted = np.zeros(PICKS, dtype=bool)
+    wanted[of.select(slot("doc_id").alias("s")).distinct().toPandas()["s"].to_numpy(int)] = True  # PICKS values at most
+    picked = spark.sparkContext.broadcast(np.packbits(wanted))
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = batch.column("slot").to_numpy()
+        texts = batch.column("text").filter(pa.array((picked.value[s >> 3] >> (7 - (s & 7)) & 1).astype(bool)))
+        own = {_name(x): x for x in shingle_sets(texts, k)}
+        return record({"node": list(own), "n": [len(x) for x in own.values()], "own": [x.tobytes() for x in own.values()]}, {"node": pa.binary(), "n": pa.int32(), "own": pa.binary()})
+
+    whole = by_batch(docs.select("text", slot("doc_id").alias("slot")), sets, "node binary, n int, own binary").dropDuplicates(["node"])
+    whole = written(whole.join(names, "node").select("id", "n", F.lit(0).alias("l"), "own"), "sets", "none")
+    found = written(_compared(pairs, whole, similar), "verified")
+    forget(pairs, names, whole)
+    return found
 
 
 def node_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n) of each row, and (node, label) of the nodes that have links."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(_nodes(docs, k, percent), "nodes", "none")
-    heavy = spark.sparkContext.broadcast(_heavy(rows.dropDuplicates(["node"])))
-    postings = _postings(_nodes(docs, k, percent, heavy).drop("doc_id").dropDuplicates(["node"]))
-    per = W.partitionBy("shingle")
-    shared = written(postings.withColumn("c", F.count("*").over(per)).filter("c > 1").drop("c"), "postings")
-
-    def counts(x: str, y: str):
-        """Whether a shared shingle counts for the pair: sizes near enough, and early enough in both prefixes."""
-        n, m, l = F.col(x + "n"), F.col(y + "n"), F.least(F.col(x + "l"), F.col(y + "l"))
-        need = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col(x + "place") < n - need + l) & (F.col(y + "place") < m - need + l)
-
-    def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs with both l, a row for each shared shingle: those that share enough."""
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).filter("c >= l").select("a", "b")
-
+    rows = written(_rows(docs, k, percent), "rows", "none")
+    classes = spark.sparkContext.broadcast(_classes(rows))
+    slim = written(rows.select("doc_id", "node", "n"), "rows", "none")
+    forget(rows)
+    nodes = written(_nodes(docs, k, percent, classes), "nodes", "none")
+    several = _postings(nodes).groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = written(_postings(nodes).join(several, "shingle"), "postings")
+    about = nodes.select("id", "n", "l", "sketch")
     links = tried = labels = None
-    for turn in range(PIVOTS):
-        pick = F.min if turn == 0 else F.max
-        own = shared.withColumn("pivot", pick(F.struct("node", "n", "l", "place", *(["label"] if turn else []))).over(per))
-        pairs = own.filter("node <> pivot.node").filter(counts("", "pivot."))
-        if turn:
-            pairs = pairs.filter("label <> pivot.label")
-        pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"), F.col("l").alias("la"), F.col("pivot.l").alias("lb"))
-        pairs = enough(pairs)
-        links, tried, labels, shared = _merge(docs, rows, shared, pairs, links, tried, k, percent)
-    # What is left: pairs across components.
-    mixed = shared.withColumn("least", F.min("label").over(per)).withColumn("most", F.max("label").over(per)).filter("least <> most").drop("least", "most")
-    mixed = written(mixed, "mixed")
-    x, y = (mixed.select("shingle", *[F.col(c).alias(s + c) for c in ("node", "n", "l", "place", "label")]) for s in ("x_", "y_"))
-    pairs = x.join(y, "shingle").filter("x_node < y_node and x_label <> y_label").filter(counts("x_", "y_"))
-    pairs = enough(pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), F.col("x_l").alias("la"), F.col("y_l").alias("lb")))
-    links, _, labels, _ = _merge(docs, rows, None, pairs, links, tried, k, percent)
-    return rows.select("doc_id", "node", "n"), labels
-
-
-def _merge(docs, rows, shared, pairs, links, tried, k, percent):
-    """Verifies new pairs, adds their links, and labels nodes by the components so far."""
-    pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = written(_verified(docs, rows, pairs, k, percent), "verified")
-    links = found if links is None else links.union(found)
-    tried = pairs if tried is None else tried.union(pairs)
-    labels = components(links)
-    if shared is not None:
-        bare = shared.drop("label")
-        shared = written(bare.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("shingle", "node", "n", "l", "place", "label"), "postings")
-    return links, tried, labels, shared
+    quota = 0
+    while True:
+        labelled = shared if labels is None else shared.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        labelled = labelled.withColumn("label", F.col("id") if labels is None else F.coalesce("label", "id"))
+        if labels is not None:
+            mixed = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("shingle")
+            labelled = labelled.join(mixed, "shingle", "left_semi")
+        parts = F.ceil(F.col("c") / CHUNK)
+        dealt = labelled.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).join(about, "id")
+        if quota:
+            dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))).withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")})
+        else:
+            dealt = dealt.withColumns({"i": F.col("part"), "j": F.col("part")})
+        met = dealt.select("shingle", "i", "j", "part", "id", "label", "n", "l", "place", "sketch").repartition(partitions(spark), "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "n", "id")
+        found = written(_candidates(met, percent, quota).distinct(), "candidates")
+        pairs = found.filter("not more").select("a", "b")
+        new = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = quota == 0 or found.filter("more").limit(1).count() > 0
+        forget(found)
+        good = _verified(docs, slim, nodes, new, k, percent)
+        tried = new if tried is None else tried.union(new)
+        links = good if links is None else links.union(good)
+        old, labels = labels, components(links)
+        forget(old)
+        if not more:
+            break
+        quota = 8 * quota or QUOTA
+    forget(shared)
+    named = written(nodes.select("id", "node").join(labels.withColumnRenamed("node", "id"), "id").select("node", "label"), "labels")
+    forget(nodes, labels)
+    return slim, named
 
 
 def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """A row (doc_id, n_shingles, component_id) for each row of ``docs``."""
     rows, labels = node_links(docs, k, percent)
-    named = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "label").select(F.col("node").alias("of"), "component_id")
+    named = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left")
+    group = F.coalesce(F.col("label").cast("string"), F.hex("node"))  # up to 20 characters, or 32 where there is no link
+    least = named.groupBy(group.alias("g")).agg(F.min("least").alias("component_id"))
+    of = named.withColumn("g", group).join(least, "g").select(F.col("node").alias("of"), "component_id")
     joined = rows.join(of, (rows.node == of.of) & (rows.n > 0), "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -227,10 +402,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows, labels = node_links(docs, k, percent)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node"))
     named = rows.filter("n > 0").groupBy("node").agg(least.alias("least")).join(labels, "node", "left")
-    chosen = named.groupBy(F.coalesce("label", "node")).agg(F.min("least").alias("x")).select(F.col("x.null").alias("__null"), F.col("x.id").alias("__id"), F.col("x.node").alias("__node"))
+    group = F.coalesce(F.col("label").cast("string"), F.hex("node"))
+    chosen = named.groupBy(group).agg(F.min("least").alias("x")).select(F.col("x.null").alias("__null"), F.col("x.id").alias("__id"), F.col("x.node").alias("__node"))
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes = [blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in shingle_sets(batch.column("text"), k)]
+        nodes = [_name(x) if len(x) else None for x in shingle_sets(batch.column("text"), k)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, "__node"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
