@@ -5,29 +5,37 @@ runs forward and one backward, and their two states give every position a label
 distribution.  A document's probabilities are the mean over all its positions.
 Training is plain numpy: backpropagation through time and Adam, on a bounded
 sample of labelled rows (``SAMPLE`` documents, ``EXCERPT`` characters of each
-from a hashed place), each language drawn equally often.
+from a hashed place), as many of each language as there are or the sample holds,
+each language drawn equally often.
 
 Nulls and empties: a text that is null or has no letter is ``und`` with score 0,
 as is everything where no row has a label to learn from.  Rows without a label
-or doc_id are predicted, not learned from.  Repeated rows give a row each.
-Further columns are ignored.  An empty table gives no rows.
+or doc_id are predicted, not learned from.  Repeated rows give a row each, with the
+same answer; of labels equally probable the first by name wins.  A very long text
+is read whole, window by window, in bounded memory.  Further columns, whatever
+their names, are kept by ``predict`` and ignored by ``op7``.  An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-from tracewell.llm.shared import by_batch
+from tracewell.llm.shared import bounded
 
 HIDDEN, WINDOW, LANES = 8, 96, 2048
 #: Labelled documents learned from (twice as many at most), and characters of each.
 SAMPLE, EXCERPT = 6000, 400
 STEPS, BATCH, SPAN, RATE = 320, 192, 48, 0.02
 UNDETERMINED = "und"
+#: The column that ``predict`` adds.
+FOUND = "__language_found"
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -135,14 +143,17 @@ class Network:
                 self.weights[k] -= (rate * mean[k] / (1 - 0.9**step) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return loss
 
-    def pooled(self, texts: list[bytes]) -> np.ndarray:
+    def pooled(self, texts: pa.Array) -> np.ndarray:
         """[text, label]: the mean distribution over all positions; zeros for an empty text."""
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        data = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+        sizes = np.diff(offsets)
         windows = (sizes + WINDOW - 1) // WINDOW
         of = np.repeat(np.arange(len(texts)), windows)
         within = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
-        starts = np.repeat(np.cumsum(sizes) - sizes, windows) + within
+        starts = np.repeat(offsets[:-1], windows) + within
         lengths = np.minimum(sizes[of] - within, WINDOW)
         total = np.zeros((len(texts), len(self.labels)))
         order = np.argsort(-lengths, kind="stable")
@@ -150,7 +161,8 @@ class Network:
             own = order[lo : lo + LANES]
             steps = np.arange(int(lengths[own].max()))[:, None]
             mask = (steps < lengths[own]).astype(np.float32)
-            found = (self.probabilities(data[starts[own] + steps], mask) * mask[..., None]).sum(axis=0)
+            at = np.minimum(starts[own] + steps, len(data) - 1)  # what a window lacks is masked
+            found = (self.probabilities(data[at], mask) * mask[..., None]).sum(axis=0)
             np.add.at(total, of[own], found)
         return total / np.maximum(sizes, 1)[:, None]
 
@@ -165,15 +177,16 @@ def held_out():
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Learns from about ``sample`` labelled rows, picked by a hash of doc_id; None if there are none."""
-    labelled = learnable(docs)
-    n = labelled.count()
-    if not n:
+    """Learns from about ``sample`` labelled rows, as many of each language, picked by a hash of doc_id and length; None if there are none."""
+    labelled = learnable(docs).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not sizes:
         return None
-    hashed = F.xxhash64(F.col("doc_id"), F.length("text"))
+    hashed = F.xxhash64("doc_id", F.length("text"))
+    rates = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / len(sizes) / n))])
     place = (F.lit(1) + F.pmod(hashed, F.greatest(F.length("text") - EXCERPT, F.lit(1)))).cast("int")
-    picked = labelled.filter(F.pmod(F.shiftright(hashed, 8), F.lit(1_000_000)) < int(1_000_000 * sample / n) + 1)
-    rows = picked.select(F.col("lang").cast("string").alias("lang"), F.col("text").substr(place, F.lit(EXCERPT)).alias("text"), hashed.alias("h")).limit(2 * sample).toPandas()
+    picked = labelled.filter(F.shiftrightunsigned(hashed, 11) * 2.0**-53 < rates[F.col("lang")])
+    rows = picked.select("lang", F.col("text").substr(place, F.lit(EXCERPT)).alias("text"), hashed.alias("h")).orderBy("h", "lang", "text").limit(2 * sample).toPandas()
     rows = rows[[any(c.isalpha() for c in t) for t in rows["text"]]].sort_values(["h", "lang", "text"])
     if not len(rows):
         return None
@@ -184,23 +197,29 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     return network
 
 
-def predict(docs: DataFrame, network: Network | None) -> DataFrame:
-    """docs' columns doc_id and text with lang_pred and score."""
+def predicted(text: Column, network: Network | None) -> Column:
+    """struct(lang_pred, score) of a text; only the text itself goes to Python."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            names, scores = np.full(len(batch), UNDETERMINED, dtype=object), np.zeros(len(batch))
+            known = np.array([network is not None and t is not None and any(map(str.isalpha, t)) for t in batch.to_pylist()], dtype=bool)
+            if known.any():
+                own = network.pooled(batch.filter(pa.array(known)))
+                names[known] = [network.labels[i] for i in own.argmax(axis=1)]
+                scores[known] = np.clip(own.max(axis=1), 0, 1)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        known = np.array([network is not None and any(map(str.isalpha, t)) for t in texts])
-        names, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
-        if known.any():
-            own = network.pooled([texts[i].encode() for i in np.flatnonzero(known)])
-            names[known] = [network.labels[i] for i in own.argmax(axis=1)]
-            scores[known] = np.clip(own.max(axis=1), 0, 1)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
+    return F.arrow_udf(run, "lang_pred string, score double", ArrowUDFType.SCALAR_ITER)(text)
 
-    return by_batch(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double")
+
+def predict(docs: DataFrame, network: Network | None) -> DataFrame:
+    """docs with ``FOUND``, a struct of lang_pred and score; columns that docs has of such names stay."""
+    bounded(docs.sparkSession)
+    return docs.withColumn(FOUND, predicted(F.col("text").cast("string"), network))
 
 
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
     network = train(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return predict(rows, network).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predict(rows, network).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), f"{FOUND}.lang_pred", f"{FOUND}.score")

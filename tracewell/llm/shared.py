@@ -60,8 +60,13 @@ def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return by_partition(df, run, schema)
 
 
+def bounded(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Holds Arrow batches to ``size`` bytes from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def by_partition(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bounded(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
