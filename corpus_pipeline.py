@@ -26,9 +26,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or without a clear language; sets lang where it is null."""
     ship(spark)
+    answer = f"{langid.FOUND}.lang_pred"
     found = langid.predict(docs, langid.train(docs))
-    kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    kept = found.filter((F.col(answer) != langid.UNDETERMINED) & (F.col(f"{langid.FOUND}.score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", answer)).drop(langid.FOUND)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
