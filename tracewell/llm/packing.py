@@ -116,16 +116,16 @@ def _pieces(docs: DataFrame, path: str, window: int, end_id: int, with_ids: bool
     """Whole windows of each document and what is left of it."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = tokens.encoder(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        out: list[tuple] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = codec.encode(text) + end
-            n = len(ids) // 4
-            for start in range(0, n, window):
-                own = ids[4 * start : 4 * (start + window)]
-                out.append((doc_id, start, len(own) // 4, zlib.crc32(own), n, own if with_ids else None))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        ids, counts = tokens.encoder(path).encode_ended(batch.column("text"), end_id)
+        raw = memoryview(ids.astype("<u4").tobytes())
+        windows = -(-counts // window)
+        row = np.repeat(np.arange(len(counts)), windows)
+        start = (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)) * window
+        length = np.minimum(counts[row] - start, window)
+        at = 4 * ((np.cumsum(counts) - counts)[row] + start)
+        pieces = [raw[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+        own = pa.array([bytes(x) for x in pieces] if with_ids else [None] * len(pieces), pa.binary())
+        return record({"doc_id": batch.column("doc_id").take(pa.array(row)), "start": start, "length": length, "ids_crc32": [zlib.crc32(x) for x in pieces], "doc_tokens": counts[row], "ids": own}, {"ids_crc32": pa.int64()})
 
     return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PIECE)
 
@@ -137,23 +137,22 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     # Number the pieces of each length: the salt spreads a length that many documents share.
     salts = max(64, 2 * partitions(spark))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "salt"])  # at most window * salts rows
-    counts["before"] = counts.groupby("length")["n"].cumsum() - counts["n"]
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    earlier = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     histogram = np.zeros(window + 1, dtype=np.int64)
-    np.add.at(histogram, counts["length"].to_numpy(int), counts["n"].to_numpy(int))
-    slots = _slots(plan(histogram, window))
-    before = np.zeros((window + 1, salts), dtype=np.int64)
-    before[counts["length"].to_numpy(int), counts["salt"].to_numpy(int)] = counts["before"]
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``window`` rows
+        histogram[r["length"]] = r["n"]
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "salt"]
     order = W.partitionBy("length", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "start", "ids_crc32")
-    numbered = salted.select(*columns, F.row_number().over(order).alias("number"))
-    shared = spark.sparkContext.broadcast((before, slots))
+    numbered = salted.select(*columns, F.row_number().over(order).alias("number")).join(before, ["length", "salt"])
+    numbered = numbered.select(*columns[:-1], (F.col("number") + F.col("before") - 1).alias("number"))
+    slots = spark.sparkContext.broadcast(_slots(plan(histogram, window)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, slots = shared.value
         for batch in batches:
             if batch.num_rows:
-                yield _placed(batch, before, slots, with_ids)
+                yield _placed(batch, slots.value, with_ids)
 
     schema = PIECE + ", sequence_id long, offset long"
     return by_partition(numbered, run, schema if with_ids else schema.replace("ids binary, ", ""))
@@ -176,9 +175,8 @@ def _slots(patterns: list[tuple[list[int], int]]) -> dict:
     return slots
 
 
-def _placed(batch: pa.RecordBatch, before: np.ndarray, slots: dict, with_ids: bool) -> pa.RecordBatch:
-    length, salt = batch.column("length").to_numpy(), batch.column("salt").to_numpy()
-    number = batch.column("number").to_numpy().astype(np.int64) - 1 + before[length, salt]
+def _placed(batch: pa.RecordBatch, slots: dict, with_ids: bool) -> pa.RecordBatch:
+    length, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()
     sequence, offset = np.empty(len(length), dtype=np.int64), np.empty(len(length), dtype=np.int64)
     for n in np.unique(length):
         own = np.flatnonzero(length == n)

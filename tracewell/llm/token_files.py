@@ -6,9 +6,10 @@ document: its bits and the bit offset of every ``STRIDE``-th id, from each of
 which decoding can begin, so that a reader decodes all stretches at once with
 one table.  Blocks don't depend on each other.
 
-Nulls and empties: a null or empty text has only the end id.  A null doc_id sorts
-first.  Repeated ids stay, in order of their codes' bytes.  Further columns are
-ignored.  An empty table makes an empty file set.
+Nulls, empties, ties, long texts: a null or empty text has only the end id.  A null
+doc_id sorts first.  Repeated ids stay, in order of their codes' bytes; equal rows
+are interchangeable.  A very long text is one block.  Further columns are ignored.
+An empty table makes an empty file set.
 """
 
 from __future__ import annotations
@@ -131,12 +132,14 @@ def decode(payload: list[bytes], marks: list[bytes], counts: np.ndarray, table:
 
 def _tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = tokens.encoder(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        ids = [codec.encode(t) + end for t in batch.column("text").to_pylist()]
-        slim = [np.frombuffer(x, dtype="<u4") for x in ids]
-        slim = [(x.astype("<u2") if x.max() < 65536 else x) for x in slim]
-        return record({"doc_id": batch.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids": [x.tobytes() for x in slim]}, {"n_tokens": pa.int64(), "ids": pa.binary()})
+        ids, counts = tokens.encoder(path).encode_ended(batch.column("text"), end_id)
+        wide = np.maximum.reduceat(ids, np.cumsum(counts) - counts) >= 1 << 16  # texts whose ids take four bytes each
+        raw = ids.astype("<u2").tobytes()
+        ends = (2 * np.cumsum(counts)).tolist()
+        own = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for i in np.flatnonzero(wide).tolist():
+            own[i] = ids[ends[i] // 2 - counts[i] : ends[i] // 2].astype("<u4").tobytes()
+        return record({"doc_id": batch.column("doc_id"), "n_tokens": counts, "ids": own}, {"ids": pa.binary()})
 
     return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_tokens long, ids binary")
 
@@ -204,21 +207,24 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     lengths = np.zeros(int(code["id"].max()) + 1 if len(code) else 1, dtype=np.uint8)
     lengths[code["id"]] = code["bits"]
     blocks = spark.read.schema(BLOCK).parquet(f"{folder}/blocks")
-    sizes = {r["file"]: r["n"] for r in blocks.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each file
-    before, total = {}, 0
-    for file in sorted(sizes):
-        before[file], total = total, total + sizes[file]
-    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    index = blocks.select("doc_id", "n_tokens", "payload", "marks", (F.col("first") + F.element_at(base, F.col("file"))).cast("long").alias("start"))
+    sizes = blocks.groupBy("file").agg(F.sum("n_tokens").alias("n")).toPandas()  # a row for each file
+    before = np.zeros(int(sizes["file"].max()) + 2 if len(sizes) else 1, dtype=np.int64)
+    before[sizes["file"] + 1] = sizes["n"]
+    before = np.cumsum(before)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        per = batch.column("n_tokens").to_numpy()
-        ids = decode(batch.column("payload").to_pylist(), batch.column("marks").to_pylist(), per, decoding_table(lengths))
-        ends = np.cumsum(per)
-        raw = [ids[b - n : b].astype("<u4").tobytes() for b, n in zip(ends.tolist(), per.tolist(), strict=True)]
-        return record({"doc_id": batch.column("doc_id"), "start": batch.column("start"), "n_tokens": batch.column("n_tokens"), "ids": raw}, {"ids": pa.binary()})
-
-    return by_batch(index, run, "doc_id long, start long, n_tokens long, ids binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = decoding_table(lengths)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            per = batch.column("n_tokens").to_numpy()
+            raw = decode(batch.column("payload").to_pylist(), batch.column("marks").to_pylist(), per, table).astype("<u4").tobytes()
+            ends = (4 * np.cumsum(per)).tolist()
+            own = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            start = batch.column("first").to_numpy() + before[batch.column("file").to_numpy()]
+            yield record({"doc_id": batch.column("doc_id"), "start": start, "n_tokens": batch.column("n_tokens"), "ids": own}, {"ids": pa.binary()})
+
+    return by_partition(blocks, run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op10(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
