@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.shared import by_batch, by_partition, forget, partitions, record, shingle_sets, written
+from tracewell.llm.shared import by_batch, by_partition, forget, fresh, partitions, record, shingle_sets, written
 
 #: Slots of the table of count classes, a byte each; it is broadcast.
 SLOTS, BLOCKS = 1 << 22, 64
@@ -403,17 +403,16 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node"))
     named = rows.filter("n > 0").groupBy("node").agg(least.alias("least")).join(labels, "node", "left")
     group = F.coalesce(F.col("label").cast("string"), F.hex("node"))
-    chosen = named.groupBy(group).agg(F.min("least").alias("x")).select(F.col("x.null").alias("__null"), F.col("x.id").alias("__id"), F.col("x.node").alias("__node"))
+    chosen = named.groupBy(group).agg(F.min("least").alias("x")).select("x.*").toDF(*(key := fresh(docs, "no_id", "id_or_0", "node")))
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         nodes = [_name(x) if len(x) else None for x in shingle_sets(batch.column("text"), k)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, "__node"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, key[2]])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = by_batch(docs, mark, schema + ", __node binary").withColumns({"__null": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
-    key = ["__null", "__id", "__node"]
-    kept = marked.filter("__node is not null").dropDuplicates(key).join(chosen, key, "left_semi")  # copies of one row meet as partial sums first
-    bare = marked.filter("__node is null").dropDuplicates(["doc_id", "text"])
+    marked = by_batch(docs, mark, schema + f", {key[2]} binary").withColumns({key[0]: F.col("doc_id").isNull(), key[1]: F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
+    kept = marked.filter(F.col(key[2]).isNotNull()).dropDuplicates(key).join(chosen, key, "left_semi")  # copies of one row meet as partial sums first
+    bare = marked.filter(F.col(key[2]).isNull()).dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns).unionByName(bare.select(*docs.columns))
 
 

@@ -34,8 +34,6 @@ HIDDEN, WINDOW, LANES = 8, 96, 2048
 SAMPLE, EXCERPT = 6000, 400
 STEPS, BATCH, SPAN, RATE = 320, 192, 48, 0.02
 UNDETERMINED = "und"
-#: The column that ``predict`` adds.
-FOUND = "__language_found"
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -213,13 +211,13 @@ def predicted(text: Column, network: Network | None) -> Column:
     return F.arrow_udf(run, "lang_pred string, score double", ArrowUDFType.SCALAR_ITER)(text)
 
 
-def predict(docs: DataFrame, network: Network | None) -> DataFrame:
-    """docs with ``FOUND``, a struct of lang_pred and score; columns that docs has of such names stay."""
+def predict(docs: DataFrame, network: Network | None, into: str = "language") -> DataFrame:
+    """docs with the column ``into``: a struct of lang_pred and score."""
     bounded(docs.sparkSession)
-    return docs.withColumn(FOUND, predicted(F.col("text").cast("string"), network))
+    return docs.withColumn(into, predicted(F.col("text").cast("string"), network))
 
 
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
     network = train(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return predict(rows, network).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), f"{FOUND}.lang_pred", f"{FOUND}.score")
+    return predict(rows, network).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")

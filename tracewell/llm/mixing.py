@@ -10,9 +10,11 @@ close exactly.  The i-th slot of a source reads the block that the source's
 pseudorandom permutation (swap-or-not) maps i to, a new permutation for each pass
 over the source.  Documents meet their blocks by a join on the block's index.
 
-Offsets in a source's stream are sums over salted buckets of documents, so a
-source of any share of the rows spreads over tasks.  The driver sees a row for
-each source and bucket.
+Offsets in a source's stream are sums over ``SALTS`` buckets of documents, so a
+source of any share of the rows spreads over tasks; nothing depends on how many
+tasks there are.  The driver sees a row for each source.  It draws the counts of
+``GROUPS`` groups of shards at most; a task draws those of the shards in a group,
+one shard of about ``SLOTS`` slots after another.
 
 Nulls, empties, ties: a null text has size 0 and is never taken; a null source is
 a source, last in the order; repeated rows each have their own words; further
@@ -30,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import WORD, by_batch, by_partition, partitions, record, word_hashes, written
+from tracewell.llm.shared import WORD, by_batch, by_partition, fresh, partitions, record, word_hashes, written
 
 BLOCK = 64
 #: Blocks that a source is cut into at least, as far as its words go: quotas are whole blocks.
 FEWEST = 16
-#: Output shards, at most, and slots of a shard that the number of shards aims at.
-SHARDS, SLOTS = 2048, 4096
+#: Slots of an output shard, groups of shards at most, and buckets of a source.
+SLOTS, GROUPS, SALTS = 4096, 2048, 256
 WEIGHTS, MOST = (5, 2, 1), 3
 ROUNDS = 24
 
@@ -66,20 +68,18 @@ def quotas_of(targets: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, most:
     return np.minimum(np.rint(targets * blocks / np.maximum(sizes, 1)).astype(np.int64), most * blocks)
 
 
-def shard_counts(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """[shard, source] slots: multinomial by what quotas have left; columns add up to the quotas."""
-    rng = np.random.default_rng(seed)
-    left, out = quota.astype(np.int64).copy(), []
+def shard_counts(quota: np.ndarray, shards: int, seed) -> Iterator[np.ndarray]:
+    """For each shard the slots of each source: multinomial by what quotas have left; they add up to the quotas."""
+    rng, left = np.random.default_rng(seed), quota.astype(np.int64).copy()
     for shard in range(shards):
-        slots = int(left.sum()) * 1 // (shards - shard) if shard < shards - 1 else int(left.sum())
+        slots = int(left.sum()) // (shards - shard)
         own = np.zeros_like(left)
         while slots:
             draw = np.minimum(rng.multinomial(slots, (left - own) / (left - own).sum()), left - own)
             own += draw
             slots -= int(draw.sum())
         left -= own
-        out.append(own)
-    return np.array(out)
+        yield own
 
 
 def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -105,13 +105,12 @@ def _sized(docs: DataFrame) -> DataFrame:
     """(doc_id, key, size, row): the number of words of each text; ``row`` tells repeated rows apart by their text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, of = word_hashes(batch.column("text"))
-        total = np.zeros(batch.num_rows, dtype=np.uint64)
-        np.add.at(total, of, hashes)
-        return record({"doc_id": batch.column("doc_id"), "source": batch.column("source"), "size": np.bincount(of, minlength=batch.num_rows).astype(np.int64), "digest": total.view(np.int64)})
+        _, of = word_hashes(batch.column("text"))
+        return record({"doc_id": batch.column("doc_id"), "source": batch.column("source"), "digest": batch.column("digest"), "size": np.bincount(of, minlength=batch.num_rows).astype(np.int64)})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return by_batch(rows, run, "doc_id long, source string, size long, digest long").select("doc_id", _key().alias("key"), "size", "digest")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return by_batch(rows, run, "doc_id long, source string, digest long, size long").select("doc_id", _key().alias("key"), "size", "digest")
 
 
 class Mix:
@@ -121,49 +120,50 @@ class Mix:
         spark = docs.sparkSession
         self.spark, self.seed = spark, seed
         sized = written(_sized(docs), "sizes")
-        salts = max(16, partitions(spark))
-        salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(salts)).cast("int"))
-        sums = sorted(((r["key"]["null"], r["key"]["name"]), r["salt"], r["s"]) for r in salted.groupBy("key", "salt").agg(F.sum("size").alias("s")).collect())  # a row for each source and salt
-        self.sources = sorted({k for k, _, _ in sums})
-        number = {k: i for i, k in enumerate(self.sources)}
-        before = np.zeros((len(self.sources), salts), dtype=np.int64)
-        for k, salt, s in sums:
-            before[number[k], salt] = s
-        self.sizes = before.sum(axis=1)
-        before = np.cumsum(before, axis=1) - before
+        salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)).cast("int"))
+        sums = salted.groupBy("key", "salt").agg(F.sum("size").alias("s"))
+        found = {(r["key"]["null"], r["key"]["name"]): r["s"] for r in sums.groupBy("key").agg(F.sum("s").alias("s")).collect()}  # a row for each source
+        self.sources = sorted(found)
+        self.sizes = np.array([found[k] for k in self.sources], dtype=np.int64)
         wide = np.array([weights[i % len(weights)] for i in range(len(self.sources))], dtype=float)
         self.targets = targets_of(self.sizes, wide, most)
         self.width = np.clip(-(-self.sizes // FEWEST), 1, block)
         self.blocks = -(-self.sizes // self.width)
         self.quota = quotas_of(self.targets, self.sizes, self.blocks, most)
-        self.places = self._placed(salted, before)
+        self.places = self._placed(salted, sums)
 
-    def _placed(self, salted: DataFrame, before: np.ndarray) -> DataFrame:
+    def _placed(self, salted: DataFrame, sums: DataFrame) -> DataFrame:
         """(doc_id, source_no, width, size, start): where each document's words start in its source's stream."""
-        names = self.spark.createDataFrame([(k[0], k[1], i, int(self.width[i]), [int(x) for x in before[i]]) for i, k in enumerate(self.sources)], "null boolean, name string, source_no int, width int, before array<long>")
+        names = self.spark.createDataFrame([(k[0], k[1], i, int(self.width[i])) for i, k in enumerate(self.sources)], "null boolean, name string, source_no int, width int")
+        earlier = W.partitionBy("key").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+        before = sums.select("key", "salt", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
         order = W.partitionBy("key", "salt").orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest").rowsBetween(W.unboundedPreceding, -1)
         starts = salted.withColumn("inner", F.coalesce(F.sum("size").over(order), F.lit(0)))
-        joined = starts.join(F.broadcast(names), (F.col("key.null") == names["null"]) & (F.col("key.name") == names["name"]))
-        return joined.select("doc_id", "digest", "source_no", "width", "size", (F.col("inner") + F.element_at("before", F.col("salt") + 1)).alias("start"))
+        joined = starts.join(before, ["key", "salt"]).join(names, (F.col("key.null") == names["null"]) & (F.col("key.name") == names["name"]))
+        return joined.select("doc_id", "digest", "source_no", "width", "size", (F.col("inner") + F.col("before")).alias("start"))
 
     def slots(self) -> DataFrame:
-        """(shard, slot, source_no, pass, block): what each slot of each output shard reads."""
-        shards = int(min(SHARDS, max(1, -(-int(self.quota.sum()) // SLOTS))))
-        counts = shard_counts(self.quota, shards, self.seed)
+        """(group, shard, slot, source_no, pass, block): what each slot of each output shard reads."""
+        shards = max(1, -(-int(self.quota.sum()) // SLOTS))
+        groups, seed, blocks = min(GROUPS, shards), self.seed, self.blocks
+        counts = np.array(list(shard_counts(self.quota, groups, seed)))
         first = np.cumsum(counts, axis=0) - counts
-        rows = [(s, j, int(counts[s, j]), int(first[s, j]), int(self.blocks[j])) for s in range(shards) for j in np.flatnonzero(counts[s]).tolist()]
-        draws = self.spark.createDataFrame(rows, "shard int, source_no int, n long, first long, blocks long").repartition(min(shards, 4 * partitions(self.spark)))
-        seed = self.seed
+        rows = [(g, counts[g].tolist(), first[g].tolist()) for g in range(groups)]
+        draws = self.spark.createDataFrame(rows, "group int, counts array<long>, first array<long>").repartition(min(groups, 4 * partitions(self.spark)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for shard, source, n, first, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    index = first + np.arange(n, dtype=np.int64)
-                    turn = index // blocks
-                    take = permuted(index % blocks, np.full(n, blocks), np.int64(seed * 1_000_003 + source * 64) + turn)
-                    yield record({"shard": np.full(n, shard, np.int32), "slot": index, "source_no": np.full(n, source, np.int32), "pass": turn.astype(np.int32), "block": take})
-
-        return by_partition(draws, run, "shard int, slot long, source_no int, pass int, block long")
+                for group, quota, begins in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    at = np.array(begins, dtype=np.int64)
+                    for shard, own in enumerate(shard_counts(np.array(quota, dtype=np.int64), -(-shards // groups), [seed, group])):
+                        source = np.repeat(np.arange(len(own)), own)
+                        index = at[source] + np.arange(len(source)) - np.repeat(np.cumsum(own) - own, own)
+                        turn = index // blocks[source]
+                        take = permuted(index % blocks[source], blocks[source], seed * 1_000_003 + source * 64 + turn)
+                        at += own
+                        yield record({"group": np.full(len(source), group, np.int32), "shard": np.full(len(source), shard, np.int32), "slot": index, "source_no": source.astype(np.int32), "pass": turn.astype(np.int32), "block": take})
+
+        return by_partition(draws, run, "group int, shard int, slot long, source_no int, pass int, block long")
 
     def pieces(self) -> DataFrame:
         """(doc_id, digest, source_no, size, block, words, from): the part of each block that a document fills."""
@@ -200,16 +200,17 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     used = mix.pieces().join(mix.slots().select("source_no", "block", "pass"), ["source_no", "block"])
     runs = used.groupBy("doc_id", "digest", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "words"))).alias("runs"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    passes = runs.groupBy(key.alias("__of"), F.col("digest").alias("__digest")).agg(F.array_sort(F.collect_list(F.struct("start", "pass", "runs"))).alias("__passes"))
-    marked = _digested(docs).withColumn("__of", key).dropDuplicates(["__of", "__digest"])  # repeated rows: their passes come from one of them
-    rows = marked.join(passes, ["__of", "__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__passes.runs").alias("__runs"))
+    of, digest, each, one = fresh(docs, "of", "digest", "passes", "runs")
+    passes = runs.groupBy(key.alias(of), F.col("digest").alias(digest)).agg(F.array_sort(F.collect_list(F.struct("start", "pass", "runs"))).alias(each))
+    marked = docs.withColumns({of: key, digest: F.xxhash64(F.col("text").cast("string"))}).dropDuplicates([of, digest])  # repeated rows: their passes come from one of them
+    rows = marked.join(passes, [of, digest]).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(f"{each}.runs").alias(one))
     names = docs.columns
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         import re
 
         texts = []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("__runs").to_pylist(), strict=True):
+        for text, runs in zip(batch.column("text").to_pylist(), batch.column(one).to_pylist(), strict=True):
             spans = [m.span() for m in re.finditer(WORD, text)]
             joint: list[list[int]] = []
             for r in runs:
@@ -227,15 +228,5 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     return by_batch(rows, cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
-def _digested(docs: DataFrame) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, of = word_hashes(batch.column("text"))
-        total = np.zeros(batch.num_rows, dtype=np.uint64)
-        np.add.at(total, of, hashes)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(total.view(np.int64))], names=[*batch.schema.names, "__digest"])
-
-    return by_batch(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __digest long")
-
-
 def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return taken_words(docs)

@@ -2,25 +2,34 @@
 
 All of it is DataFrame expressions.  For every kind a pattern proposes spans
 (overlaps across kinds are kept).  ``BASE`` kinds with their checks always count.
-The further kinds are loose on purpose; whether such a span counts is decided by
-gradient-boosted trees on its format (digits, separators, checksum, shape) and
-context (cue words before it, units after it).  The trees are trained on
-``SAMPLE`` generated sentences, run through the same expressions, compiled to
-CASE expressions, and each kind's threshold is the lowest score that reaches
-``PRECISION`` on sentences the trees haven't seen.
-
-Positions count code points; ends are exclusive.  Nulls, empties, ties: a null
-or empty text has no spans; equal rows give equal rows; a null doc_id is carried
-through; further columns are kept by ``with_spans`` and ``redacted``; an empty
-table gives no rows.
+The further kinds, secrets among them, have loose patterns of high recall; whether
+such a span counts is decided by gradient-boosted trees on its format (length,
+digits, letters, case, entropy, checksum) and context (what stands before and
+after it).  Each kind has trees of its own.  They are fitted to ``SAMPLE`` generated sentences
+(``pii_examples``), run through the same expressions, and compiled to CASE
+expressions.  Half of the sentences are held out: on them a logistic curve for
+each kind calibrates scores to probabilities, and the kind's threshold is the
+highest probability at which ``RECALL`` of the wanted spans are still found, or a
+half if that is less.
+
+Positions count code points; ends are exclusive.  Nulls, empties, ties, long texts:
+a null or empty text has no spans; equal rows give equal rows; a null doc_id is
+carried through; a long text is scanned whole, in time that grows with its length
+and its spans; further columns, whatever their names, are kept by ``with_spans``
+and ``redacted``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm import pii_examples
+from tracewell.llm.shared import fresh
+
 #: Kind -> pattern.  Each finds what the plain pattern finds, without backtracking.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -28,22 +37,35 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_RUN = "A-Za-z0-9_+/=-"
 #: Further kinds, which the trees decide.
 LOOSE = {
     "email_words": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++ ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,}+",
-    "phone_local": r"(?<![0-9A-Za-z+.(-])(?<![0-9)] )\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
+    "phone_local": r"(?<![0-9A-Za-z+.(-])(?<![0-9)] )(?:\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|0[0-9]{2,4}[ /-][0-9]{6,8})(?![0-9A-Za-z-])",
     "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card_short": r"(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "birth": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})(?![0-9A-Za-z/-])",
+    "handle": r"(?<![A-Za-z0-9._%+@/-])@[A-Za-z_][A-Za-z0-9_]{2,30}+(?![@.]?[A-Za-z0-9])",
+    "address": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "secret": rf"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{{12,}}+={{0,2}}+(?![{_RUN}])",
+    "password": r"(?i)(?<=(?:password|passwort|passwd|pwd|secret|passe|token|api_key|apikey) {0,2}[=:] {0,2}[\x22']{0,1})[^\s\x22',;]{5,64}+",
 }
 #: What a text must hold for a pattern to be tried.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": "+", "email_words": r"[(\[]at[)\]]", "phone_local": r"[0-9]{3}[ .-][0-9]{4}", "national_id": r"[0-9]-[0-9]{2}-[0-9]", "card_short": r"[0-9]{5}", "account": r"[A-Z]{2}[0-9]{2}"}
+NEEDS = {
+    "email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": "+",
+    "email_words": r"[(\[]at[)\]]", "phone_local": r"[0-9]{3}[ .-][0-9]{4}|[ /-][0-9]{6}", "national_id": r"[0-9]-[0-9]{2}-[0-9]", "card_short": r"[0-9]{5}", "account": r"[A-Z]{2}[0-9]{2}",
+    "birth": r"[0-9][./-][0-9]{1,2}[./-][0-9]", "handle": "@", "address": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", "secret": rf"[{_RUN}]{{12}}", "password": r"(?i)(?:pass|pwd|secret|token|api)[a-z_]{0,6} {0,2}[=:]",
+}
 KINDS = [*BASE, *LOOSE]
-SAMPLE, TREES, RATE, PRECISION = 4000, 24, 0.4, 0.95
-FEATURES = ["kind", "digits", "marks", "letters", "alike", "checked", "cue", "counter", "unit", "bracket"]
+SAMPLE, TREES, RATE, RECALL = 10000, 30, 0.3, 0.95
+FEATURES = ["kind", "length", "digits", "marks", "upper", "lower", "alike", "entropy", "turns", "checked", "hex", "cue", "near", "counter", "given", "quoted", "unit", "bracket", "year", "known"]
 
-_CUES = r"(?i)(?:call|phone|tel|mobile|fax|dial|contact|ssn|social security|card|amex|visa|mail|iban|account|whatsapp|text me)[^a-z0-9]{0,4}(?:(?:at|is|me|no|number)[^a-z0-9]{1,3}){0,3}$"
-_COUNTERS = r"(?i)(?:order|version|part|isbn|ref|invoice|ticket|serial|sku|item|issue|build|page|case|model|token|hash|id)[^a-z0-9]{0,4}(?:no|number|nr)?[^a-z0-9]{0,4}$"
+#: How keys of widespread services begin.
+_KNOWN = r"\A(?:AKIA|ASIA|gh[pousr]_|sk_live_|sk_test_|xox[abprs]-|AIza|eyJ)[A-Za-z0-9_-]"
+_CUES = r"(?i)(?:call|phone|tel|mobile|cell|fax|dial|contact|ssn|social|card|amex|visa|mail|iban|account|konto|born|birth|dob|geb|follow|pass|pwd|secret|token|key|login|auth|bearer)"
+_NEAR = r"(?i)\b(?:me|my|his|her|their|number|nr|no|is|at|on|am|le|to)[^A-Za-z0-9]{1,3}$"
+_COUNTERS = r"(?i)(?:order|version|part|isbn|ref|invoice|ticket|serial|sku|item|issue|build|page|case|model|commit|sha[0-9]*|md5|checksum|digest|etag|hash|released|file|img|\bid)[^a-z0-9]{0,4}(?:no|number|nr|on)?[^a-z0-9]{0,4}$"
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -84,30 +106,48 @@ def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+def _entropy(text: Column) -> Column:
+    """Tenths of bits a character."""
+    n = F.length(text)
+    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
+    return (-10 * F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda total, c: total + F.when(c == "", 0.0).otherwise(share(c) * F.log2(F.greatest(share(c), F.lit(1e-9)))))).cast("int")
+
+
 def features(span: Column) -> dict[str, Column]:
-    """Whole numbers that describe a proposed span."""
-    match, digits = span["match"], F.regexp_replace(span["match"], "[^0-9]", "")
-    letters = F.regexp_replace(match, "[^A-Za-z]", "")
-    kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), span["kind"]).cast("int")
+    """Whole numbers that describe a proposed span; lengths over 64 count as 64."""
+    match, before = span["match"], span["before"]
+    without = lambda pattern: F.least(F.length(F.regexp_replace(match, pattern, "")), F.lit(64))
+    digits = F.regexp_replace(match, "[^0-9]", "")
     whole = lambda x: F.coalesce(x.cast("int"), F.lit(0))
     return {
-        "kind": kind,
-        "digits": F.length(digits),
-        "marks": F.length(match) - F.length(digits) - F.length(letters),
-        "letters": F.length(letters),
+        "kind": F.array_position(F.array(*[F.lit(k) for k in KINDS]), span["kind"]).cast("int"),
+        "length": F.least(F.length(match), F.lit(64)),
+        "digits": without("[^0-9]"),
+        "marks": without("[A-Za-z0-9]"),
+        "upper": without("[^A-Z]"),
+        "lower": without("[^a-z]"),
         "alike": F.size(F.array_distinct(F.split(digits, ""))),
+        "entropy": _entropy(match),
+        "turns": F.least(F.regexp_count(match, F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]")), F.lit(64)),
         "checked": whole(_luhn(digits)),
-        "cue": whole(span["before"].rlike(_CUES)),
-        "counter": whole(span["before"].rlike(_COUNTERS)),
-        "unit": whole(span["after"].rlike(r"(?i)^ ?(?:%|€|eur\b|usd\b|kg\b|km\b|mb\b|gb\b|bytes\b|items\b)")),
+        "hex": whole(match.rlike(r"\A[0-9a-f]+\z")),
+        "cue": whole(before.rlike(_CUES)),
+        "near": whole(before.rlike(_NEAR)),
+        "counter": whole(before.rlike(_COUNTERS)),
+        "given": whole(before.rlike(r"[=:] {0,2}[\x22']?$")),
+        "quoted": whole(before.rlike(r"[\x22']$")),
+        "unit": whole(span["after"].rlike(r"(?i)^ ?(?:%|€|eur\b|usd\b|kg\b|km\b|mb\b|gb\b|bytes\b|items\b|px\b)")),
         "bracket": whole(match.rlike(r"\A\([0-9]{3}\)")),
+        "year": F.coalesce(F.regexp_extract(match, "((?:19|20)[0-9]{2})", 1).try_cast("int") - 1900, F.lit(0)),
+        "known": whole(match.rlike(_KNOWN)),
     }
 
 
 class Trees:
-    """Boosted trees of depth 2 on whole-number features, fitted to the logistic loss."""
+    """Boosted trees of depth 2 on whole-number features from 0 to 255, fitted to the logistic loss."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE):
+        x = np.clip(x, 0, 255)
         self.bias, self.trees = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), []
         score = np.full(len(y), self.bias)
         for _ in range(trees):
@@ -124,13 +164,13 @@ class Trees:
 
     @staticmethod
     def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tuple[int, int]:
+        """The feature and the value up to which rows go left, with the greatest gain."""
         best, at = -1.0, (0, 0)
         for f in range(x.shape[1]):
-            for cut in np.unique(x[rows, f])[:-1]:
-                left, right = rows & (x[:, f] <= cut), rows & (x[:, f] > cut)
-                gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[right].sum() ** 2 / (h[right].sum() + 1)
-                if gain > best + 1e-12:
-                    best, at = gain, (f, int(cut))
+            left_g, left_h = (np.cumsum(np.bincount(x[rows, f], v[rows], 256))[:-1] for v in (g, h))
+            gain = left_g**2 / (left_h + 1) + (g[rows].sum() - left_g) ** 2 / (h[rows].sum() - left_h + 1)
+            if gain.max() > best + 1e-9:
+                best, at = float(gain.max()), (f, int(gain.argmax()))
         return at
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -149,72 +189,61 @@ class Trees:
         return out
 
 
-def _sentences(spark: SparkSession, n: int) -> DataFrame:
-    """(text, kind, label): generated sentences with one span each, personal or not."""
-    pick = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(m)).cast("int")
-    digits = lambda salt, k: F.lpad(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(10**k)).cast("string"), k, "0")
-    d3, e3, d4, d2 = digits("a", 3), digits("b", 3), digits("c", 4), digits("d", 2)
-    words = F.array(*[F.lit(w) for w in ("lena", "omar", "desk", "sales.team", "j.doe", "info")])
-    name = F.element_at(words, pick("w", 6) + 1)
-    shapes = {
-        "email_words": F.concat(name, F.element_at(F.array(F.lit(" (at) "), F.lit("[at]")), pick("s", 2) + 1), F.lit("example"), F.element_at(F.array(F.lit(".org"), F.lit(" (dot) org")), pick("t", 2) + 1)),
-        "phone_local": F.when(pick("s", 3) == 0, F.concat(F.lit("("), d3, F.lit(") "), e3, F.lit("-"), d4)).when(pick("s", 3) == 1, F.concat_ws("-", d3, e3, d4)).otherwise(F.concat_ws(".", d3, e3, d4)),
-        "national_id": F.concat_ws("-", d3, d2, d4),
-        "card_short": F.concat(F.lit("37"), d2, F.lit(" "), digits("e", 6), F.lit(" "), digits("f", 5)),
-        "account": F.concat_ws(" ", F.concat(F.lit("DE"), d2), d4, digits("e", 4), digits("f", 4), digits("g", 4), d2),
-    }
-    good = F.array(*[F.lit(w) for w in ("call me at ", "phone: ", "tel. ", "my mobile is ", "ssn ", "card number ", "mail: ", "iban: ", "account no ", "text me ")])
-    bad = F.array(*[F.lit(w) for w in ("order no. ", "version ", "part number ", "isbn ", "ref: ", "invoice ", "serial ", "issue #", "token = ", "build ")])
-    plain = F.array(*[F.lit(w) for w in ("and then the ", "we saw ", "of ", "in the ")])
-    kinds = list(shapes)
-    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), pick("k", len(kinds)) + 1)
-    body = F.lit(None).cast("string")
-    for k in kinds:
-        body = F.when(kind == k, shapes[k]).otherwise(body)
-    setting = pick("c", 10)
-    lead = F.when(setting < 4, F.element_at(good, pick("l", 10) + 1)).when(setting < 8, F.element_at(bad, pick("l", 10) + 1)).otherwise(F.element_at(plain, pick("l", 4) + 1))
-    tail = F.when((setting == 9), F.lit(" items")).otherwise(F.lit(" , thanks"))
-    strong = kind.isin("email_words", "account") | ((kind == "phone_local") & (pick("s", 3) == 0))
-    label = (setting < 4) | ((setting == 8) & strong)
-    return spark.range(n).select(F.concat(F.lit("hello "), lead, body, tail).alias("text"), label.cast("int").alias("label"))
+def _calibrated(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and bias of the logistic curve from scores to probabilities, by Newton's steps."""
+    a, b = 1.0, 0.0
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(a * scores + b)))
+        w, x = p * (1 - p) + 1e-6, np.stack([scores, np.ones_like(scores)])
+        step = np.linalg.solve((x * w) @ x.T + 1e-3 * np.eye(2), x @ (y - p) - 1e-3 * np.array([a - 1, b]))
+        a, b = a + step[0], b + step[1]
+    return float(max(a, 1e-3)), float(b)
 
 
 class Model:
-    """Trees and, for each loose kind, the score from which a span counts."""
+    """Trees and, for each loose kind, its calibration and the probability from which a span counts."""
 
     def __init__(self, spark: SparkSession, sample: int = SAMPLE):
-        rows = _sentences(spark, sample).select("label", F.explode(F.concat(*[_matches(F.col("text"), k) for k in LOOSE])).alias("s"))
-        rows = rows.select("label", *[c.alias(n) for n, c in features(F.col("s")).items()]).collect()  # ``sample`` sentences
-        table = np.array([list(r) for r in rows], dtype=np.int64)
-        x, y = table[:, 1:], table[:, 0].astype(float)
-        seen = np.arange(len(y)) % 2 == 0
-        self.trees = Trees(x[seen], y[seen])
-        scores = self.trees.scores(x)
-        self.thresholds = {k: self._threshold(scores[own], y[own]) for k in LOOSE for own in [~seen & (x[:, 0] == KINDS.index(k) + 1)]}
-
-    @staticmethod
-    def _threshold(scores: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(-scores)
-        precision = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-        last = np.append(scores[order][1:] != scores[order][:-1], True) if len(y) else np.empty(0, bool)
-        good = np.flatnonzero(last & (precision >= PRECISION))
-        return float(scores[order][good[-1]]) - 1e-9 if len(good) else 1e9
+        rows = json.dumps(pii_examples.sentences(list(LOOSE), sample))
+        table = spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<text:string,kind:string,start:int,end:int,label:int>>")).alias("r")).select("r.*")
+        spans = table.select("kind", "start", "end", "label", F.explode(F.concat(*[_matches(F.col("text"), k) for k in LOOSE])).alias("s"))
+        spans = spans.filter("s.kind = kind and s.start < end and s.end > start")
+        got = spans.select("label", *[c.alias(n) for n, c in features(F.col("s")).items()]).collect()  # about ``sample`` rows
+        rows = np.array(sorted(tuple(r) for r in got), dtype=np.int64)
+        x, y = rows[:, 1:], rows[:, 0].astype(float)
+        seen = np.random.default_rng(0).random(len(y)) < 0.5
+        self.trees, self.curves, self.thresholds = {}, {}, {}
+        for k in LOOSE:
+            kind = x[:, 0] == KINDS.index(k) + 1
+            self.trees[k] = Trees(x[kind & seen], y[kind & seen])
+            own = kind & ~seen
+            scores = self.trees[k].scores(x[own])
+            a, b = self.curves[k] = _calibrated(scores, y[own])
+            p = np.sort(1 / (1 + np.exp(-(a * scores[y[own] > 0] + b))))
+            self.thresholds[k] = min(0.5, float(p[int((1 - RECALL) * len(p))]) - 1e-9) if len(p) else 1.0
 
     def chosen(self, text: Column) -> Column:
         """The loose spans that count."""
         spans = F.concat(*[_matches(text, k) for k in LOOSE])
-        scored = F.transform(spans, lambda s: F.struct(s.alias("s"), self.trees.column(list(features(s).values())).alias("score")))
-        limit = lambda s: F.coalesce(*[F.when(s["kind"] == k, F.lit(v)) for k, v in self.thresholds.items()], F.lit(1e9))
-        kept = F.transform(F.filter(scored, lambda c: c["score"] >= limit(c["s"])), lambda c: c["s"])
+        described = F.transform(spans, lambda s: F.struct(s.alias("s"), *[c.alias(n) for n, c in features(s).items()]))  # each feature once
+
+        def counts(d: Column) -> Column:
+            own = F.lit(False)
+            for k, (a, b) in self.curves.items():
+                score = self.trees[k].column([d[n] for n in FEATURES])
+                own = F.when(d["s"]["kind"] == k, 1 / (1 + F.exp(-(score * F.lit(a) + F.lit(b)))) >= F.lit(self.thresholds[k])).otherwise(own)
+            return own
+
+        kept = F.transform(F.filter(described, counts), lambda d: d["s"])
         need = "|".join(f"(?:{NEEDS[k]})" for k in LOOSE)
         return F.when(text.rlike(need), kept).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,match:string,before:string,after:string>>"))
 
 
-def with_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with the arrays base_<kind> and more_spans of (kind, start, end, match, before, after)."""
+def with_spans(docs: DataFrame, model: Model | None = None, into: str = "pii") -> DataFrame:
+    """docs with the column ``into``: arrays base_<kind> and more of (kind, start, end, match, before, after)."""
     model = model or Model(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({f"base_{k}": _matches(text, k) for k in BASE} | {"more_spans": model.chosen(text)})
+    return docs.withColumn(into, F.struct(*[_matches(text, k).alias(f"base_{k}") for k in BASE], model.chosen(text).alias("more")))
 
 
 def _joined(spans: Column) -> Column:
@@ -222,10 +251,12 @@ def _joined(spans: Column) -> Column:
 
 
 def op1(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    """The contract's columns, and n_spans, the number of all spans."""
+    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "pii.*")
     base = F.concat(*[F.col(f"base_{k}") for k in BASE])
+    spans = F.concat(base, F.col("more"))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, F.col("more_spans"))).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -233,8 +264,10 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Their union goes; the kind is that of the first, then longest.
     """
-    found = with_spans(docs, model)
-    spans = F.array_sort(F.transform(F.concat(*[F.col(f"base_{k}") for k in BASE], F.col("more_spans")), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    (into,) = fresh(docs, "pii")
+    found = with_spans(docs, model, into)
+    every = F.concat(*[F.col(f"{into}.base_{k}") for k in BASE], F.col(f"{into}.more"))
+    spans = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def step(state: Column, s: Column) -> Column:
