@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import jaccard, langid, mixing, packing, pii
-from tracewell.llm.shared import shared_folder
+from tracewell.llm.shared import fresh, shared_folder
 from tracewell.session import ship
 
 #: A document whose most probable language is less probable than this is rejected.
@@ -26,10 +26,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or without a clear language; sets lang where it is null."""
     ship(spark)
-    answer = f"{langid.FOUND}.lang_pred"
-    found = langid.predict(docs, langid.train(docs))
-    kept = found.filter((F.col(answer) != langid.UNDETERMINED) & (F.col(f"{langid.FOUND}.score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", answer)).drop(langid.FOUND)
+    (into,) = fresh(docs, "language")
+    found = langid.predict(docs, langid.train(docs), into)
+    kept = found.filter((F.col(f"{into}.lang_pred") != langid.UNDETERMINED) & (F.col(f"{into}.score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", f"{into}.lang_pred")).drop(into)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
