@@ -208,7 +208,8 @@ def predicted(text: Column, network: Network | None) -> Column:
                 scores[known] = np.clip(own.max(axis=1), 0, 1)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
-    return F.arrow_udf(run, "lang_pred string, score double", ArrowUDFType.SCALAR_ITER)(text)
+    found = F.arrow_udf(run, "lang_pred string, score double", ArrowUDFType.SCALAR_ITER)
+    return found.asNondeterministic()(text)  # else a filter on its answer has it asked twice
 
 
 def predict(docs: DataFrame, network: Network | None, into: str = "language") -> DataFrame:

@@ -139,7 +139,8 @@ class Mix:
         before = sums.select("key", "salt", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
         order = W.partitionBy("key", "salt").orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest").rowsBetween(W.unboundedPreceding, -1)
         starts = salted.withColumn("inner", F.coalesce(F.sum("size").over(order), F.lit(0)))
-        joined = starts.join(before, ["key", "salt"]).join(names, (F.col("key.null") == names["null"]) & (F.col("key.name") == names["name"]))
+        before = before.join(names.hint("merge"), (F.col("key.null") == names["null"]) & (F.col("key.name") == names["name"]))
+        joined = starts.join(before.select("key", "salt", "before", "source_no", "width").hint("merge"), ["key", "salt"])
         return joined.select("doc_id", "digest", "source_no", "width", "size", (F.col("inner") + F.col("before")).alias("start"))
 
     def slots(self) -> DataFrame:

@@ -18,9 +18,11 @@ SLICE_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one of our own in local mode (tests), an error on a cluster."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
