@@ -83,12 +83,20 @@ def test_requests(spark):
 def test_onboarding(spark):
     spec = onboarding.spec_for("Recognized", "generic-kv-space-eq")
     parser = spec.build()
-    suite = onboarding.LabSuite([b"msg=hello"], [(b"msg=hello", ["msg"])], [(b"msg=hello", [("msg", "hello")])], [b"nothing"], [b"msg=hello"], [b"\0=\1"], [b"msg=hello"])
-    report = onboarding.evaluate(spark, parser, suite)
+    suite = onboarding.LabSuite([b"msg=hello"], [(b"msg=hello", ["msg", "message"])], [(b"msg=hello", [("msg", "hello")])], [b"nothing"], [b"msg=hello"], [b"\0=\1"], [b"msg=hello"])
+    assert [k for k, ok in onboarding.evaluate(spark, parser, suite).items() if not ok] == ["semantic"]  # it has no mapping rules of its own
+    report = onboarding.evaluate(spark, parser, suite, mapped_as="json-flat")
     assert all(report.values())
     registry = parsers.Registry()
     assert onboarding.Candidate(parser, report).approve(registry).stage == "Approved" and len(registry) == 1
-    assert not any(onboarding.evaluate(spark, parser, onboarding.LabSuite()).values())
+    assert [k for k, ok in onboarding.evaluate(spark, parser, onboarding.LabSuite()).items() if ok] == ["security"]  # its inputs are its own
+    lines = onboarding.spec_for("Recognized", "generic-csv-3col").build()
+    want = [("col1", "a"), ("col2", "b"), ("col3", "c")]
+    report = onboarding.evaluate(spark, lines, onboarding.LabSuite(golden=[(b"a,b,c", want)]))
+    assert report["golden"] and report["mutation"] and not report["semantic"]
+    many = b" ".join(b"k%d=v" % i for i in range(1500))
+    report = onboarding.evaluate(spark, parser, onboarding.LabSuite(negative=[many], semantic=[(b"msg=hello", ["message_id"])]), mapped_as="json-flat")
+    assert not report["negative"] and not report["semantic"]  # a limit is no refusal
     for bad in (dict(kind="key_value", separator="", pair_separator=" "), dict(kind="delimited", separator="\t", names=("a",)), dict(kind="delimited", separator=",", names=("a", " a")), dict(kind="key_value", separator="=", pair_separator="=")):
         with pytest.raises(onboarding.SpecError):
             onboarding.ParserSpec("x", "1", **bad).validate()

@@ -38,30 +38,38 @@ def profile(frames: DataFrame, by: list[str] | None = None, order: str | None =
     seen = observations(frames)
     first = F.min(F.col(order)) if order else F.min("key")
     counts = seen.groupBy(*by, "dimension", "field", "key").agg(F.count("*").alias("cnt"), first.alias("first"))
-    rank = F.row_number().over(W.partitionBy(*by, "dimension", "field").orderBy("first", "key"))
-    words = counts.filter("dimension = 'vocabulary'").withColumn("rank", rank).filter(F.col("rank") <= VOCABULARY).drop("rank", "first")
-    return counts.filter("dimension <> 'vocabulary'").drop("first").unionByName(words)
+    alone = F.when(F.col("dimension") != "vocabulary", F.col("key"))  # only a vocabulary is ranked
+    rank = F.row_number().over(W.partitionBy(*by, "dimension", "field", alone).orderBy("first", "key"))
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= VOCABULARY).drop("rank", "first")
 
 
 def detect(baseline: DataFrame, current: DataFrame, volume: float = VOLUME, frequency: float = FREQUENCY) -> DataFrame:
-    """(dimension, field, item, drift_type, old, new): counts for volume, shares else."""
-    keys = ["dimension", "field", "key"]
+    """(dimension, field, item, drift_type, old, new) between two profiles: counts for volume, shares else."""
+    names = ["dimension", "field", "key", "cnt"]
+    return compare(baseline.select(F.lit("old").alias("side"), *names).unionByName(current.select(F.lit("new").alias("side"), *names)), "side", volume, frequency)
 
-    def side(p: DataFrame, name: str) -> DataFrame:
-        total = p.filter("dimension = 'total'").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("all"))  # one row
-        sums = p.filter("dimension = 'vocabulary'").groupBy("field").agg(F.sum("cnt").alias("of_field"))
-        out = p.join(sums, "field", "left").join(F.broadcast(total))
-        whole = F.when(F.col("dimension") == "vocabulary", F.col("of_field")).otherwise(F.col("all"))
-        return out.select(*[F.coalesce(k, F.lit("")).alias(k) for k in keys], F.col("cnt").alias(f"{name}_cnt"), (F.col("cnt") / whole).alias(f"{name}_share"))
 
-    both = side(baseline, "old").join(side(current, "new"), keys, "full_outer")
-    shared = baseline.filter("dimension = 'vocabulary'").select("field").intersect(current.filter("dimension = 'vocabulary'").select("field"))
-    others = both.filter("dimension not in ('total', 'vocabulary')")
-    words = both.filter("dimension = 'vocabulary'").join(shared, "field", "left_semi").select(*both.columns)
-    kind = F.when(F.col("old_cnt").isNull(), "Added").when(F.col("new_cnt").isNull(), "Removed").when(F.abs(F.col("new_share") - F.col("old_share")) >= frequency, "FrequencyChanged")
-    found = others.unionByName(words).withColumn("drift_type", kind).filter("drift_type is not null")
-    found = found.select("dimension", "field", F.col("key").alias("item"), "drift_type", F.when(F.col("drift_type") == "FrequencyChanged", F.col("old_share")).alias("old"), F.when(F.col("drift_type") == "FrequencyChanged", F.col("new_share")).alias("new"))
-    change = F.abs(F.coalesce("new_cnt", F.lit(0)) - F.col("old_cnt")) / F.col("old_cnt")
-    amount = both.filter("dimension = 'total' and old_cnt > 0").filter(change >= volume)
-    amount = amount.select(F.lit("volume").alias("dimension"), F.lit("").alias("field"), F.lit("events").alias("item"), F.lit("VolumeChanged").alias("drift_type"), F.col("old_cnt").cast("double").alias("old"), F.coalesce("new_cnt", F.lit(0)).cast("double").alias("new"))
-    return found.unionByName(amount)
+def compare(profiles: DataFrame, side: str, volume: float = VOLUME, frequency: float = FREQUENCY) -> DataFrame:
+    """What ``detect`` gives, for profiles in one table whose column ``side`` is old or new: each row is read once."""
+    count = lambda name: F.sum(F.when(F.col(side) == name, F.col("cnt"))).alias(name)
+    both = profiles.groupBy("dimension", F.coalesce("field", F.lit("")).alias("field"), "key").agg(count("old"), count("new"))
+    of_field, of_all = W.partitionBy("dimension", "field"), W.partitionBy(F.lit(0))  # counts of keys, not events
+    for name in ("old", "new"):
+        whole = F.when(F.col("dimension") == "vocabulary", F.sum(name).over(of_field)).otherwise(F.sum(F.when(F.col("dimension") == "total", F.col(name))).over(of_all))
+        both = both.withColumn(f"{name}_all", whole)
+    total, words = F.col("dimension") == "total", F.col("dimension") == "vocabulary"
+    shift = F.abs(F.col("new") / F.col("new_all") - F.col("old") / F.col("old_all"))
+    change = F.abs(F.coalesce("new", F.lit(0)) - F.col("old")) / F.col("old")
+    kind = (
+        F.when(total, F.when((F.col("old") > 0) & (change >= volume), "VolumeChanged"))
+        .when(words & (F.col("old_all").isNull() | F.col("new_all").isNull()), F.lit(None))  # a field that one side lacks
+        .when(F.col("old").isNull(), "Added").when(F.col("new").isNull(), "Removed").when(shift >= frequency, "FrequencyChanged")
+    )
+    shown = lambda name: F.when(F.col("drift_type") == "VolumeChanged", F.coalesce(F.col(name), F.lit(0)).cast("double")).when(F.col("drift_type") == "FrequencyChanged", F.col(name) / F.col(f"{name}_all")).alias(name)
+    found = both.withColumn("drift_type", kind).filter("drift_type is not null")
+    return found.select(F.when(total, "volume").otherwise(F.col("dimension")).alias("dimension"), "field", F.col("key").alias("item"), "drift_type", shown("old"), shown("new"))
+
+
+def has_drift(found: DataFrame) -> bool:
+    """Whether ``detect`` found anything."""
+    return not found.isEmpty()

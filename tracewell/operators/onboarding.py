@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import parsers
+from tracewell.operators import mapping, parsers
 
 
 class SpecError(ValueError):
@@ -89,24 +89,44 @@ def mutated(data: bytes) -> bytes:
     return data[:middle] + bytes([(data[middle] + 1) % 256]) + data[middle + 1 :]
 
 
-def evaluate(spark: SparkSession, parser: parsers.Parser, suite: LabSuite) -> dict[str, bool]:
-    """A verdict for each check; an empty one fails.  All cases run as one table."""
+#: What every parser must survive: very many pairs, and deep nesting.
+HOSTILE = [b"".join(b"k%d=v " % i for i in range(10_000)), b'{"a":' * 500 + b"1" + b"}" * 500]
+
+
+def evaluate(spark: SparkSession, parser: parsers.Parser, suite: LabSuite, mapped_as: str | None = None) -> dict[str, bool]:
+    """A verdict for each check; all cases run as one table.
+
+    mapped_as: the parser whose mapping rules hold for this one; by default its own,
+    and a parser without rules fails the semantic check.
+
+    A check without inputs fails, but for security, which always parses
+    ``HOSTILE`` and passes if it returns.  Semantic inputs must parse, convert and
+    map, and the result must have the names asked for, as fields or targets.
+    Negative ones must be refused as Malformed or Unsupported, not by a limit.
+    Mutation passes if some golden input (or one of ``suite.mutation``), with a byte
+    changed, fails or gives other fields.
+    """
     rows = [("syntax", x, None) for x in suite.syntax] + [("semantic", x, [(n, "") for n in names]) for x, names in suite.semantic]
     rows += [("golden", x, sorted(want)) for x, want in suite.golden] + [("negative", x, None) for x in suite.negative]
-    rows += [("mutation", mutated(x), None) for x in suite.mutation] + [(k, x, None) for k in ("security", "performance") for x in getattr(suite, k)]
-    cases = spark.createDataFrame(rows or [("none", b"", None)], "check string, data binary, want array<struct<name:string,value:string>>")
+    rows += [("mutation", mutated(x), sorted(want)) for x, want in suite.golden if x] + [("mutation", mutated(x), None) for x in suite.mutation]
+    rows += [("security", x, None) for x in [*HOSTILE, *suite.security]] + [("performance", x, None) for x in suite.performance]
+    cases = spark.createDataFrame(rows, "check string, data binary, want array<struct<name:string,value:string>>")
     got = cases.select("check", "want", F.explode(F.array(parser.parse(F.col("data")))).alias("r"))
     have = F.array_sort(F.transform("r.fields", lambda f: F.struct(f["name"].alias("name"), f["raw_value"].alias("value"))))
-    names = F.transform("r.fields", lambda f: f["name"])
-    ok = F.col("r.status") == "Success"
+    ok, rules = F.col("r.status") == "Success", F.lit(mapped_as or parser.id)
+    mapped = got.withColumn("c", mapping.canonical(rules, F.when(ok, mapping.to_ir(F.lit(parser.id), F.col("r.fields")))))
+    targets = F.array(*[F.when(F.col("c")[t].isNotNull(), F.lit(t)) for t in mapping.ORDER])
+    names = F.concat(F.transform("r.fields", lambda f: f["name"]), F.array_compact(targets))
     passed = (
         F.when(F.col("check") == "syntax", ok)
-        .when(F.col("check") == "semantic", ok & F.forall("want", lambda w: F.array_contains(names, w["name"])))
+        .when(F.col("check") == "semantic", ok & F.col("c").isNotNull() & F.forall("want", lambda w: F.array_contains(names, w["name"])))
         .when(F.col("check") == "golden", ok & (have == F.col("want")))
-        .when(F.col("check").isin("negative", "mutation"), ~ok)
+        .when(F.col("check") == "negative", F.col("r.status").isin("Malformed", "Unsupported"))
+        .when(F.col("check") == "mutation", ~ok | (F.col("want").isNotNull() & (have != F.col("want"))))
         .otherwise(F.lit(True))
     )
-    found = {r["check"]: r["ok"] for r in got.groupBy("check").agg(F.bool_and(F.coalesce(passed, F.lit(False))).alias("ok")).collect()}
+    sure = F.coalesce(passed, F.lit(False))
+    found = {r["check"]: r["any"] if r["check"] == "mutation" else r["all"] for r in mapped.groupBy("check").agg(F.bool_and(sure).alias("all"), F.bool_or(sure).alias("any")).collect()}
     return {k: found.get(k, False) for k in ("syntax", "semantic", "golden", "negative", "mutation", "security", "performance")}
 
 

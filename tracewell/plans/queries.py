@@ -349,9 +349,10 @@ UNION ALL SELECT 'volume', '', 'events', 'VolumeChanged' FROM j WHERE dimension
 def _(spark, sf_dir):
     half = F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "old").otherwise("new")
     p = drift.profile(interpreted(spark, sf_dir).withColumn("half", half), ["half"], "seq")
-    old, new = p.filter("half = 'old'").drop("half"), p.filter("half = 'new'").drop("half")
-    extra = new.filter("dimension = 'schema' and key = 'source_ip'").withColumn("key", F.lit("source_ip!"))
-    return drift.detect(old, new.filter("key not in ('json-flat', 'Debug')").unionByName(extra)).select("dimension", "field", "item", "drift_type")
+    changed = F.when((F.col("half") == "new") & F.col("key").isin("json-flat", "Debug"), F.array().cast("array<string>"))
+    changed = changed.when((F.col("half") == "new") & (F.col("dimension") == "schema") & (F.col("key") == "source_ip"), F.array("key", F.concat("key", F.lit("!"))))
+    p = p.withColumn("key", F.explode(changed.otherwise(F.array("key"))))
+    return drift.compare(p, "half").select("dimension", "field", "item", "drift_type")
 
 
 @_query("q_accuracy", f"@SELECT CAST(count(*) FILTER (format < 5) AS BIGINT) AS detection_correct, CAST(count(*) FILTER (format = 5) AS BIGINT) AS correct_abstentions, CAST(0 AS BIGINT) AS false_attributions, CAST(count(*) FILTER (format IN (3, 4)) AS BIGINT) AS onboarded FROM r")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
@@ -135,13 +137,18 @@ class Objects:
 
     def put(self, key: str, data: bytes) -> None:
         path, fs, jvm = self._at(key)
-        part = jvm.org.apache.hadoop.fs.Path(f"{path.toString()}.part")
-        out = fs.create(part, True)
-        out.write(bytearray(data))
-        out.hsync()
-        out.close()
-        fs.delete(path, False)
-        fs.rename(part, path)
+        part = jvm.org.apache.hadoop.fs.Path(f"{path.toString()}.{uuid.uuid4().hex}.part")
+        out = fs.create(part, False)
+        try:
+            out.write(bytearray(data))
+            out.hsync()
+        finally:
+            out.close()
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(part, path, options)  # one step; raises if it fails
 
     def exists(self, key: str) -> bool:
         path, fs, _ = self._at(key)
