@@ -9,7 +9,7 @@ from tracewell.sources import sinks
 from tracewell.sources.evidence import Store, decode_requests, ingest, read_buffer
 from tracewell.streaming.ingest import KafkaConfig, start
 
-LINES = b'{"src":"10.1.1.5"}\n{"source_ip":"10.1.1.5","level":"error"}\n{"client":"10.1.1.5"}\n{"app_version":"10.1.1.5"}\n'
+LINES = b'{"src":"10.1.1.5"}\n{"source_ip":"10.1.1.5","level":"error"}\n{"client":"10.1.1.5"}\n{"note":"10.1.1.5"}\n'
 
 
 @pytest.fixture(scope="module")

@@ -175,7 +175,7 @@ def _value(text: str, at: int, last: int) -> tuple[int, int, int] | str:
     sign = text[at] if at < last else ""
     if sign == '"':
         m = _STRING.match(text, at, last)
-        return (*m.span(1), m.end()) if m else "unterminated string"
+        return (*m.span(1), m.end()) if m else "a string without its closing quote"
     if sign in ("{", "["):
         closing, depth, place = {"{": "}", "[": "]"}[sign], 0, at
         while m := _INSIDE.search(text, place, last):
@@ -191,7 +191,7 @@ def _value(text: str, at: int, last: int) -> tuple[int, int, int] | str:
                 depth -= 1
                 if not depth:
                     return at, place, place
-        return "unterminated nested structure"
+        return "a bracket that nothing closes"
     if sign and sign in "tfn":
         end = at
         while end < last and text[end].isalpha():
