@@ -81,6 +81,12 @@ def test_fingerprints(spark, docs, empty):
     long = "\n".join(text_of(i, 12) for i in range(60))
     other = long.replace(text_of(30, 12), "changed")
     assert merkle.differing(merkle.fingerprint(long), merkle.fingerprint(other)) == [("a", 30), ("b", 30)]
+    words = " ".join(f"w{i}" for i in range(500))
+    assert merkle.likeness(merkle.fingerprint(words), merkle.fingerprint("first " + words)) > 0.9
+    lines = long.split("\n")
+    assert 0.4 < merkle.likeness(merkle.fingerprint(long), merkle.fingerprint("\n".join(lines[30:] + lines[:30]))) < 0.6
+    for text in ("", "\n", "\n\n", "a\nb", "a" * 300_000, long * 100, "é漢😀 x\n"):
+        assert "\n".join("".join(p) for p in merkle._paragraphs(text)) == text
     assert merkle.op2(spark, docs).count() == len(TEXTS) + 1 and merkle.op2(spark, empty).count() == 0
     assert rows_of(merkle.op2(spark, docs.filter("doc_id = 4")))[0]["near_next"] == 1.0
 
@@ -94,6 +100,14 @@ def test_chat(spark):
         loss = "".join(t for role, t in own if role == "assistant")
         assert (r["n_turns"], r["turns_sha256"]) == (len(own), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest())
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    table = [(c, t, "user", f"{c}{t}" * (300_000 if c == 1 else 1)) for c in (1, 2) for t in range(6)]
+    rows = spark.createDataFrame(table, "conv_id long, turn long, role string, text string")
+    for loop in ("{% for t in turns %}[{{ t.text }}]{% endfor %}", "{% if turns[0].role == 'user' %}{% for t in turns %}[{{ t.text }}]{% endfor %}{% endif %}"):
+        found = chat.format_conversations(rows, f"<bos>{loop}<eos>").orderBy("conv_id", "stretch").collect()
+        for c in (1, 2):
+            assert "".join(r["formatted"] for r in found if r["conv_id"] == c) == "<bos>" + "".join(f"[{x[3]}]" for x in table if x[0] == c) + "<eos>"
+        assert sum(r["conv_id"] == 1 for r in found) > 1 == sum(r["conv_id"] == 2 for r in found)
+    assert chat.op3(spark, rows.filter("conv_id < 0")).count() == 1
     assert chat.parse("{{ 'a' + 'b' | upper }}{% if 1 == 2 %}x{% else %}y{% endif %}") == [("text", "aBy")]
     for bad in ("{{ x.__class__ }}", "{{ f() }}", "{% for x y %}", "{% if 1 %}", "{{ 'a' | exec }}"):
         with pytest.raises(chat.TemplateError):

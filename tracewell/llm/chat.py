@@ -24,6 +24,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -343,44 +345,74 @@ def _step(node: tuple, masked: bool) -> Callable[[dict], Pieces]:
 # On tables
 
 
+def _uses(node: object, name: str) -> int:
+    """How often a syntax tree names ``name``; within a loop counts twice."""
+    if isinstance(node, tuple) and node[:1] == ("name",):
+        return int(node[1] == name)
+    if isinstance(node, tuple) and node[:1] == ("for",):
+        return _uses(node[2], name) + 2 * _uses(node[3], name)
+    return sum(_uses(x, name) for x in node) if isinstance(node, (tuple, list)) else 0
+
+
+def _passes_once(source: str) -> bool:
+    """Whether a template goes over its turns in one loop and uses them nowhere else."""
+    tree = parse(source)
+    return _uses(tree, "turns") == 1 and any(node[0] == "for" and node[2] == ("name", "turns") for node in tree)
+
+
+class _Turns:
+    """The turns of one conversation, from a sorted stream; ``between`` says that another one has begun."""
+
+    def __init__(self, rows: Iterator[tuple]) -> None:
+        self.rows, self.between = rows, False
+
+    def __iter__(self) -> Iterator[dict]:
+        for _, _, role, text in self.rows:
+            self.between = True
+            yield {"role": role, "text": text}
+
+
 def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """(conv_id, stretch, formatted, mask): each conversation's text in stretches, mask the (start, end) under the loss.
 
-    Rows are sorted by conversation and turn in each partition and stream
-    through; a conversation is never held as a whole.  Stretches end between turns.
+    The template renders whole conversations.  Rows are sorted by conversation and
+    turn in each partition; a template with one loop over ``turns`` draws them from
+    that stream, so that a conversation is never held as a whole, and its stretches
+    end between turns.  One that uses ``turns`` in other ways gets a conversation's
+    turns as a tuple in memory.
     """
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = turns.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
+    streams = _passes_once(template)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         render = compile_template(template)
-        stretches: list[tuple] = []
-        conv, number, parts, mask, size = object(), 0, [], [], 0
-
-        def close() -> None:
-            nonlocal number, parts, mask, size
-            if parts:
-                stretches.append((conv, number, "".join(parts), mask))
-                number, parts, mask, size = number + 1, [], [], 0
+        sorted_rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for conv, own in groupby(sorted_rows, itemgetter(0)):
+            source = _Turns(own)
+            number, parts, mask, size = 0, [], [], 0
+            for piece, masked in render({"turns": source if streams else tuple(source)}):
+                if size > STRETCH and (source.between or not streams):
+                    yield conv, number, "".join(parts), mask
+                    number, parts, mask, size = number + 1, [], [], 0
+                source.between = False
+                if masked and piece:
+                    mask.append({"start": size, "end": size + len(piece)})
+                parts.append(piece)
+                size += len(piece)
+            if parts or not number:
+                yield conv, number, "".join(parts), mask
 
-        for batch in batches:
-            for conv_id, _, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if conv_id != conv:
-                    close()
-                    conv, number = conv_id, 0
-                for piece, masked in render({"turns": ({"role": role, "text": text},)}):
-                    if masked and piece:
-                        mask.append({"start": size, "end": size + len(piece)})
-                    parts.append(piece)
-                    size += len(piece)
-                if size > STRETCH:
-                    close()
-            if stretches:
-                yield _stretch_rows(stretches)
-                stretches.clear()
-        close()
-        if stretches:
-            yield _stretch_rows(stretches)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in stretches(batches):
+            held.append(row)
+            size += len(row[2])
+            if size > STRETCH:
+                yield _stretch_rows(held)
+                held, size = [], 0
+        if held:
+            yield _stretch_rows(held)
 
     return by_partition(ordered, run, "conv_id long, stretch int, formatted string, mask array<struct<start:int,end:int>>")
 

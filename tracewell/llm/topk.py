@@ -6,6 +6,8 @@ highest partial scores, with their whole scores; the k-th highest whole score of
 a query is a safe cutoff.  Phase 2 broadcasts it: a vector that reaches it must
 reach cutoff / LISTS in some list, so only such entries are collected.  Phase 3
 adds up their remaining partial scores exactly and keeps what reaches the cutoff.
+Lists are computed one after another: a vector whose partial scores so far and the product of the lengths of what is left (Cauchy and
+Schwarz) stay below every query's cutoff gets no further list computed.
 Queries go in blocks of bounded size.
 
 Nulls and ties: vectors that are null or have null or non-finite components take
@@ -31,7 +33,7 @@ LISTS, SCALE = 4, 64
 #: Bytes of one block of queries, which is broadcast.
 BLOCK_BYTES = 4 << 20
 #: Vectors compared with a block at a time.
-ROWS = 512
+ROWS = 256
 #: Entries that a partition gives for each query and list in the first phase.
 EACH = 2
 
@@ -50,9 +52,14 @@ def _matrix(vectors: pa.Array, dim: int | None = None) -> np.ndarray:
     return out
 
 
+def _most(queries: np.ndarray, rows: np.ndarray) -> float:
+    """No score of these is larger."""
+    return np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, queries.shape[1])
+
+
 def _partials(queries: np.ndarray, rows: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
     """Exact partial scores [query, row] of each list, in the cheapest type that holds them."""
-    most = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, queries.shape[1])
+    most = _most(queries, rows)
     if most < 2**53:
         kind = np.float32 if most < 2**24 else np.float64
         return [queries[:, a:b].astype(kind) @ rows[:, a:b].T.astype(kind) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -91,18 +98,18 @@ def _block(rows: DataFrame, own: DataFrame, k: int) -> DataFrame:
     edges = np.linspace(0, asked.shape[1], LISTS + 1).astype(int)
     block = spark.sparkContext.broadcast((ids, asked))
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                vec_ids = part.column("vec_id").to_numpy()
-                yield vec_ids, _partials(block.value[1], _matrix(part.column("embedding"), block.value[1].shape[1]), edges)
+                yield part.column("vec_id").to_numpy(), _matrix(part.column("embedding"), block.value[1].shape[1])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phase 1: of each list the entries with the highest partial scores here."""
         query = np.arange(len(block.value[0]))
         best: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(LISTS)]
-        for vec_ids, parts in chunks(batches):
+        for vec_ids, rows in chunks(batches):
+            parts = _partials(block.value[1], rows, edges)
             total = sum(parts[1:], parts[0])
             itself = block.value[0][:, None] == vec_ids
             for g, part in enumerate(parts):
@@ -128,13 +135,10 @@ def _block(rows: DataFrame, own: DataFrame, k: int) -> DataFrame:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phases 2 and 3: entries with a sufficient partial score, and their whole scores."""
         floor, ids = limits.value, block.value[0]
+        lengths = _lengths(block.value[1], edges)
         kept = [(np.empty(0, np.int64),) * 3]
-        for vec_ids, parts in chunks(batches):
-            highest = np.maximum.reduce(parts)
-            q, r = np.nonzero((highest * LISTS >= floor[:, None]) & (ids[:, None] != vec_ids))
-            score = sum(p[q, r].astype(np.int64) for p in parts)
-            there = score >= floor[q]
-            kept.append((q[there], vec_ids[r[there]], score[there]))
+        for vec_ids, rows in chunks(batches):
+            kept.append(_sufficient(block.value[1], lengths, ids, floor, rows, vec_ids, edges))
             if sum(len(x[0]) for x in kept) > 4 * k * len(ids) + 100_000:
                 kept = [_first(kept, k)]
         q, vec, score = _first(kept, k)
@@ -143,6 +147,32 @@ def _block(rows: DataFrame, own: DataFrame, k: int) -> DataFrame:
     return by_partition(rows, collect, "query_id long, vec_id long, score long")
 
 
+def _lengths(vectors: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """[vector, list]: the length of each run of dimensions, rounded up."""
+    return np.stack([np.sqrt((vectors[:, a:b] ** 2).sum(axis=1)) for a, b in zip(edges[:-1], edges[1:], strict=True)], axis=1) * (1 + 1e-9)
+
+
+def _sufficient(asked: np.ndarray, lengths: np.ndarray, ids: np.ndarray, floor: np.ndarray, rows: np.ndarray, vec_ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(query, vec_id, score) of the rows that reach the cutoff of a query, by lists that are left out where they can't matter."""
+    if _most(asked, rows) >= 2**53:  # beyond the whole numbers of a double: all lists, in Python's integers
+        parts = _partials(asked, rows, edges)
+        total = np.clip(sum(parts[1:], parts[0]), -(2**62), 2**62).astype(np.int64)
+        q, r = np.nonzero((total >= floor[:, None]) & (ids[:, None] != vec_ids))
+        return q, vec_ids[r], total[q, r]
+    own = _lengths(rows, edges)
+    so_far, highest = np.zeros((len(asked), len(rows))), np.full((len(asked), len(rows)), -np.inf)
+    for g in range(LISTS + 1):
+        bound = so_far + lengths[:, g:] @ own[:, g:].T if g < LISTS else so_far
+        alive = np.flatnonzero((bound + np.abs(bound) * 1e-9 + 1 >= floor[:, None]).any(axis=0))
+        if len(alive) < len(vec_ids):
+            rows, vec_ids, own, so_far, highest = rows[alive], vec_ids[alive], own[alive], so_far[:, alive], highest[:, alive]
+        if g < LISTS and len(vec_ids):
+            (part,) = _partials(asked, rows, edges[g : g + 2])
+            so_far, highest = so_far + part, np.maximum(highest, part)
+    q, r = np.nonzero((highest * LISTS >= floor[:, None]) & (so_far >= floor[:, None]) & (ids[:, None] != vec_ids))
+    return q, vec_ids[r], so_far[q, r].astype(np.int64)
+
+
 def _highest(found: list, each: int) -> tuple[np.ndarray, ...]:
     """For each query the ``each`` highest partial scores of several lists of them."""
     parts, vecs, scores = (np.concatenate([x[i].reshape(len(x[i]), -1) for x in found], axis=1) for i in range(3))
