@@ -11,6 +11,7 @@ from tracewell.functions.bytesx import event_id
 from tracewell.operators import drift, entities, integrity, mapping, parsers
 from tracewell.operators.framing import frame_errors, frames
 from tracewell.plans import replay as R
+from tracewell.plans import views
 from tracewell.plans.render import SQL, lines
 from tracewell.session import ship
 from tracewell.sources import sinks
@@ -292,6 +293,24 @@ def _(spark, sf_dir):
     return e.join(F.broadcast(wanted), F.col("event_id") == F.col("wanted"), "left_semi").select("source", F.base64("raw_bytes").alias("payload"), F.octet_length("raw_bytes").cast("long").alias("size_bytes"))
 
 
+# What is shown: documents with an odd id get a byte in front that no UTF-8 text has
+
+
+@_query("q_shown_bytes", f"""
+SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN text
+  ELSE rtrim('ff ' || regexp_replace(lower(hex(encode(text))), '(..)', '\\1 ', 'g')) END) AS shown_sha256 FROM ({_TEXT})""")
+def _(spark, sf_dir):
+    data = F.when(F.col("doc_id") % 2 == 0, F.col("raw_bytes")).otherwise(F.concat(F.unhex(F.lit("ff")), "raw_bytes"))
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(views.shown(data), 256).alias("shown_sha256"))
+
+
+@_query("q_percentiles", """
+WITH s AS (SELECT event_type, list_sort(list(value)) AS v, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type)
+SELECT event_type, v[n * 50 // 100 + 1] AS p50, v[n * 95 // 100 + 1] AS p95, v[n * 99 // 100 + 1] AS p99 FROM s""")
+def _(spark, sf_dir):
+    return views.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value"), ["event_type"], "value")
+
+
 # Entities
 
 _EDGES = """, e AS (

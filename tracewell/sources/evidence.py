@@ -75,9 +75,12 @@ class Store:
         fresh = deduplicated(sequenced(events, 0 if last["seq"] is None else last["seq"] + 1), stored)
         rows = fresh.withColumns({"ingestion_ns": F.lit(str(now_ns or time.time_ns())).cast("decimal(38,0)"), "size_bytes": F.octet_length("raw_bytes").cast("long")})
         total, before = events.count(), stored.count()
-        linked(rows, last["tail"]).select(*[c.split()[0] for c in EVIDENCE.replace("decimal(38,0)", "decimal").split(", ")]).write.mode("append").parquet(self.path)
+        self._add(linked(rows, last["tail"]).select(*[c.split()[0] for c in EVIDENCE.replace("decimal(38,0)", "decimal").split(", ")]))
         return {"total": total, "stored": self.table().count() - before}
 
+    def _add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
     def retrieve(self, wanted: str) -> DataFrame:
         """The event, with its payload in base64; no rows if there is none."""
         return self.table().filter(F.col("event_id") == wanted).withColumn("payload", F.base64("raw_bytes"))
@@ -97,3 +100,17 @@ def ingest(spark: SparkSession, buffers: DataFrame, store: Store, framer: str =
     if bad := errors.limit(1).collect():
         raise ValueError(f"framing error in {bad[0]['source']}: {bad[0]['kind']} {bad[0]['detail']}")
     return store.append(events)
+
+
+class MemoryStore(Store):
+    """A store that lives as long as its session: batches of events in order, nothing on disk."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__(spark, "")
+        self.batches = spark.createDataFrame([], EVIDENCE)
+
+    def table(self) -> DataFrame:
+        return self.batches
+
+    def _add(self, rows: DataFrame) -> None:
+        self.batches = self.batches.unionByName(rows.persist())
