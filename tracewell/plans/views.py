@@ -59,14 +59,13 @@ def summary_view(evidence: DataFrame) -> DataFrame:
 
 
 def frame_view(frames: DataFrame) -> DataFrame:
-    """A frame of an interpretation: bytes in base64, the decisions as text, canonical fields as JSON.
+    """A frame of an interpretation: bytes in base64, the decision, typed and canonical fields as JSON.
 
     Unmapped fields and abstentions aren't shown.
     """
-    inference = F.when(F.col("inference").isNotNull(), F.struct(*[F.col(f"inference.{c}").alias(c) for c in ("decision", "parser_id", "format_name", "confidence", "reason")]))
     return frames.select(
         "event_id", "frame_index", F.base64("frame_bytes").alias("frame_base64"), "parser_id", "parser_version", "parser_outcome", "parser_error",
-        inference.alias("inference"), F.to_json(F.col("canonical").dropFields("unmapped", "abstentions")).alias("canonical"),
+        "inference", F.to_json("ir").alias("fields"), F.to_json(F.col("canonical").dropFields("unmapped", "abstentions")).alias("canonical"),
     )
 
 
