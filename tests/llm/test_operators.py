@@ -142,6 +142,13 @@ def test_mixing_small_sources(spark):
         assert set(mixed.doc_id) == set(got.doc_id[got.taken > 0]) and sum(len(t.split()) for t in mixed.text) == got.taken.sum()
 
 
+def test_mixing_slots_not_broadcast(spark, docs):
+    """Spark takes the slots for as small as the counts they are drawn from; they grow with the input."""
+    for table in (mixing.op4(spark, docs), mixing.mixed_documents(docs)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin \[source_no#\d+, block", plan)
+
+
 def test_tokens_and_packing(spark, docs, empty):
     codec = tokens.encoder(tokens.default_path())
     for t in TEXTS:

@@ -8,7 +8,9 @@ shard draws how many of its slots go to each source: multinomial draws whose
 probabilities are what the sources have left of their quotas, so that totals
 close exactly.  The i-th slot of a source reads the block that the source's
 pseudorandom permutation (swap-or-not) maps i to, a new permutation for each pass
-over the source.  Documents meet their blocks by a join on the block's index.
+over the source.  Documents meet their blocks by a join on the block's index; Spark
+takes all slots for as small as the rows they are drawn from, so the join is told
+to merge: else every slot of the mix would be broadcast.
 
 Offsets in a source's stream are sums over ``SALTS`` buckets of documents, so a
 source of any share of the rows spreads over tasks; nothing depends on how many
@@ -183,7 +185,7 @@ def taken_words(docs: DataFrame, **settings) -> DataFrame:
     spark = docs.sparkSession
     facts = spark.createDataFrame([(i, int(s), float(t)) for i, (s, t) in enumerate(zip(mix.sizes, mix.targets, strict=True))], "source_no int, source_size long, target double")
     times = mix.slots().groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    met = mix.pieces().join(times, ["source_no", "block"], "left")
+    met = mix.pieces().join(times.hint("merge"), ["source_no", "block"], "left")
     taken = met.groupBy("doc_id", "source_no", "start", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     empty = mix.places.filter("size = 0").select("doc_id", "source_no", "size", F.lit(0).cast("long").alias("taken"))
     rows = taken.select("doc_id", "source_no", "size", "taken").unionByName(empty)
@@ -198,7 +200,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     there, is counted anew.
     """
     mix = Mix(docs, **settings)
-    used = mix.pieces().join(mix.slots().select("source_no", "block", "pass"), ["source_no", "block"])
+    used = mix.pieces().join(mix.slots().select("source_no", "block", "pass").hint("merge"), ["source_no", "block"])
     runs = used.groupBy("doc_id", "digest", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "words"))).alias("runs"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     of, digest, each, one = fresh(docs, "of", "digest", "passes", "runs")
