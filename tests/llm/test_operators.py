@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tracewell.llm import chat, jaccard, langid, merkle, mixing, packing, pii, token_files, tokens, topk, toxicity
+from tracewell.llm import chat, components, jaccard, langid, merkle, mixing, packing, pii, token_files, tokens, topk, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -239,6 +239,48 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.op8(spark, empty).count() == 0 and jaccard.op8(spark, docs).count() == len(TEXTS) + 1
 
 
+def test_jaccard_links_once(spark, monkeypatch):
+    """Links go to the components once, and rounds after the first see only lists that left pairs out."""
+    rng, base = np.random.default_rng(3), text_of(70, 120).split()
+    texts = []
+    for i in range(150):
+        own = list(base)
+        for at in rng.integers(0, len(own), int(rng.integers(1, 6))):
+            own[at] = f"new{rng.integers(0, 40)}"
+        texts.append(" ".join(own))
+    given, raw, whole = [], [], jaccard._candidates
+
+    def joined(links, **known):
+        given.extend(map(tuple, links.select("a", "b").collect()))
+        return components.components(links, **known)
+
+    def counted(met, percent, quota):
+        found = whole(met, percent, quota)
+        raw.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "components", joined)
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    got = jaccard.op8(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(117)} for t in texts]
+    near = [[j for j, b in enumerate(sets) if 100 * len(a & b) >= 85 * len(a | b)] for a in sets]
+    least = list(range(len(sets)))
+    for _ in sets:
+        least = [min(least[j] for j in own) for own in near]
+    assert [r["component_id"] for r in rows_of(got)] == [least[i] for i in range(len(texts))]
+    assert len(given) == len(set(given)) and len(raw) > 2
+
+
+def test_components_known(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = lambda df: sorted(map(tuple, df.select("node", "label").collect()))
+    assert got(components.components(frame([]))) == []
+    known = components.components(frame([(9, 1), (9, 2), (9, 3), (20, 21), (21, 22), (30, 31)]))
+    assert got(known) == [(1, 1), (2, 1), (3, 1), (9, 1), (20, 20), (21, 20), (22, 20), (30, 30), (31, 30)]
+    assert got(components.components(frame([(22, 9), (31, 40), (50, 51), (1, 3)]), known=known)) == [(1, 1), (2, 1), (3, 1), (9, 1), (20, 1), (21, 1), (22, 1), (30, 30), (31, 30), (40, 30), (50, 50), (51, 50)]
+    assert components.components(frame([(20, 22)]), known=known) is known
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.2, 8).astype(np.float32)]) for i in range(300)]

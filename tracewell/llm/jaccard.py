@@ -23,8 +23,9 @@ threshold.  Only what passes leaves the task.
 Dense groups aren't paired out.  First each node is compared with one pivot of its
 size in each list, and what links is merged into components.  Then come rounds
 over the lists that still hold several components: a node's best partners in
-other components, ``QUOTA`` of them and eight times as many in each round, until a
-round has left none out.  So the operator gives exact components, not links:
+other components, ``QUOTA`` of them and eight times as many in each round, over the
+lists that left some out, until a round has left none out.  A pair that meets in several lists is left to the first of
+them, as far as the rows' first shared shingles tell.  So the operator gives exact components, not links:
 links inside a component aren't all made, and their number doesn't come out of it.
 Verification counts the intersection of whole sets, read from the texts again.
 
@@ -62,6 +63,8 @@ QUOTA = 4
 SALTS = 32
 #: Bytes of a sketch at most; it has two bits for each shingle of a smaller set.
 SKETCH = 128
+#: First shared shingles that a row of a list has with it, to leave a pair to the first list that has both.
+LEADS = 4
 #: Pairs tested at a time.
 TESTED = 1 << 17
 
@@ -167,6 +170,12 @@ class _Lists:
 
     def __init__(self, batch: pa.RecordBatch):
         self.shingle, self.i, self.j, self.part, self.id, self.label, self.n, self.l, self.place = (batch.column(c).to_numpy() for c in ("shingle", "i", "j", "part", "id", "label", "n", "l", "place"))
+        self.lead = None
+        if "lead" in batch.schema.names:
+            lead = batch.column("lead")
+            self.lead, count = np.zeros((len(self.id), LEADS), np.int64), lead.value_lengths().to_numpy()
+            self.led = np.arange(LEADS) < count[:, None]
+            self.lead[self.led] = lead.flatten().to_numpy()
         self.sketches = batch.column("sketch")
         offsets = np.frombuffer(self.sketches.buffers()[1], np.int32)[self.sketches.offset : self.sketches.offset + len(self.id) + 1].astype(np.int64)
         self.width, self.at = np.diff(offsets), offsets[:-1]
@@ -187,12 +196,21 @@ class _Lists:
             out[of] = x
         return out.view(np.uint64)
 
+    def _first_met(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """False where both rows lead with another shingle: as the order is global, it is earlier, and its list has the pair."""
+        first = np.full(len(a), LEADS)
+        for i in range(LEADS - 1, -1, -1):
+            first[(self.led[a, i, None] & self.led[b] & (self.lead[a, i, None] == self.lead[b])).any(axis=1)] = i
+        return (first == LEADS) | (self.lead[a, np.minimum(first, LEADS - 1)] == self.shingle[a])
+
     def passing(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of rows that may link, and by how much their sketches differ."""
         n, m, l = self.n[a].astype(np.int64), self.n[b].astype(np.int64), np.minimum(self.l[a], self.l[b])
         need = overlap(n, m, percent)
         ok = (self.label[a] != self.label[b]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (self.place[a] < n - need + l) & (self.place[b] < m - need + l)
         ok &= (self.i[a] == self.j[a]) | (self.part[a] != self.part[b])
+        if self.lead is not None:
+            ok[ok] = self._first_met(a[ok], b[ok])
         a, b, most, total = a[ok], b[ok], (n + m - 2 * need)[ok], (n + m)[ok]
         width, differ = np.minimum(self.width[a], self.width[b]), np.zeros(len(a), np.int64)
         for w in np.unique(width).tolist():
@@ -204,13 +222,16 @@ class _Lists:
         return a[ok], b[ok], differ[ok] / total[ok]
 
     def with_pivots(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Each row with the first of its list part and class of sizes."""
+        """Each row with the least id of its list part and class of sizes: lists that share their members share pivots.  Two rows alone are a pair."""
         size = np.floor(np.log(self.n) * 8).astype(np.int64)
+        size[np.repeat(np.diff(np.append(self.first, len(self.id))) == 2, np.diff(np.append(self.first, len(self.id))))] = 0
         new = np.ones(len(self.id), bool)
         new[1:] = size[1:] != size[:-1]
         new[self.first] = True
-        pivot = np.flatnonzero(new)[np.cumsum(new) - 1]
-        rows = np.flatnonzero(~new)
+        run = np.cumsum(new) - 1
+        order = np.lexsort((self.id, run))
+        pivot = order[np.flatnonzero(new)][run]
+        rows = np.flatnonzero(pivot != np.arange(len(pivot)))
         yield pivot[rows], rows
 
     def all_pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -242,21 +263,21 @@ def _best(a: np.ndarray, b: np.ndarray, differ: np.ndarray, quota: int) -> np.nd
 
 
 def _candidates(met: DataFrame, percent: int, quota: int) -> DataFrame:
-    """(a, b, more): pairs of ids that may link, from lists in order; a null pair with ``more`` where some were left out.  quota 0: with pivots."""
+    """(a, b, shingle): pairs of ids that may link, from lists in order; null pairs with the shingles of lists that left some out.  quota 0: with pivots."""
 
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists, a, b, differ = _Lists(batch), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        more = False
+        less = np.empty(0, np.int64)
         for x, y in lists.all_pairs(percent) if quota else lists.with_pivots():
             x, y, d = lists.passing(x, y, percent)
             a, b, differ = np.concatenate([a, x]), np.concatenate([b, y]), np.concatenate([differ, d])
             if quota:
                 keep = _best(a, b, differ, quota)
-                more |= not keep.all()
+                less = np.union1d(less, lists.shingle[a[~keep]])
                 a, b, differ = a[keep], b[keep], differ[keep]
         ends = np.unique(np.stack([np.minimum(lists.id[a], lists.id[b]), np.maximum(lists.id[a], lists.id[b])]), axis=1)
-        left, right = ends[0].tolist() + [None] * more, ends[1].tolist() + [None] * more
-        return record({"a": left, "b": right, "more": [x is None for x in left]}, {"a": pa.int64(), "b": pa.int64(), "more": pa.bool_()})
+        none, pairs = pa.nulls(len(less), pa.int64()), pa.nulls(ends.shape[1], pa.int64())
+        return record({k: pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for k, x, y in (("a", ends[0], none), ("b", ends[1], none), ("shingle", pairs, less))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -276,7 +297,7 @@ def _candidates(met: DataFrame, percent: int, quota: int) -> DataFrame:
         if held:
             yield found(pa.concat_batches(held))
 
-    return by_partition(met, run, "a long, b long, more boolean")
+    return by_partition(met, run, "a long, b long, shingle long")
 
 
 def _compared(pairs: DataFrame, blobs: DataFrame, holds) -> DataFrame:
@@ -348,11 +369,13 @@ def node_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     nodes = written(_nodes(docs, k, percent, classes), "nodes", "none")
     several = _postings(nodes).groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
     shared = written(_postings(nodes).join(several, "shingle"), "postings")
-    about = nodes.select("id", "n", "l", "sketch")
-    links = tried = labels = None
+    lead = F.slice(F.array_sort(F.collect_list(F.struct("place", "shingle"))), 1, LEADS)["shingle"].alias("lead")
+    about = written(nodes.select("id", "n", "l", "sketch").join(shared.groupBy("id").agg(lead), "id"), "about")
+    tried = labels = left = None
     quota = 0
     while True:
-        labelled = shared if labels is None else shared.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        open_lists = shared if not quota else shared.filter("c > 2") if left is None else shared.join(left, "shingle", "left_semi")
+        labelled = open_lists if labels is None else open_lists.join(labels.withColumnRenamed("node", "id"), "id", "left")
         labelled = labelled.withColumn("label", F.col("id") if labels is None else F.coalesce("label", "id"))
         if labels is not None:
             mixed = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("shingle")
@@ -363,21 +386,23 @@ def node_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
             dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))).withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")})
         else:
             dealt = dealt.withColumns({"i": F.col("part"), "j": F.col("part")})
-        met = dealt.select("shingle", "i", "j", "part", "id", "label", "n", "l", "place", "sketch").repartition(partitions(spark), "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "n", "id")
+        met = dealt.select("shingle", "i", "j", "part", "id", "label", "n", "l", "place", "sketch", *["lead"] * bool(quota)).repartition(partitions(spark), "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "n", "id")
         found = written(_candidates(met, percent, quota).distinct(), "candidates")
-        pairs = found.filter("not more").select("a", "b")
+        pairs = found.filter("a is not null").select("a", "b")
         new = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = quota == 0 or found.filter("more").limit(1).count() > 0
-        forget(found)
+        old, left = left, written(found.filter("a is null").select("shingle"), "left") if quota else None
+        more = left is None or left.limit(1).count() > 0
+        forget(found, old)
         good = _verified(docs, slim, nodes, new, k, percent)
         tried = new if tried is None else tried.union(new)
-        links = good if links is None else links.union(good)
-        old, labels = labels, components(links)
-        forget(old)
+        old, labels = labels, components(good, known=labels)
+        if old is not labels:
+            forget(old)
+        forget(good)
         if not more:
             break
         quota = 8 * quota or QUOTA
-    forget(shared)
+    forget(shared, about, left)
     named = written(nodes.select("id", "node").join(labels.withColumnRenamed("node", "id"), "id").select("node", "label"), "labels")
     forget(nodes, labels)
     return slim, named
