@@ -296,6 +296,27 @@ def test_top_k(spark):
     assert topk.op9(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_wide_and_uneven(spark):
+    """One file of one row group is dealt out to all cores; dimensions that are missing, long and beyond 2^24 and 2^53."""
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 2.0**14, 2.0**40):
+        rows = [(i, (rng.normal(0, 1, int(rng.integers(1, 10))) * scale).tolist()) for i in range(700)] + [(700, []), (701, [1.0, None]), (None, [1.0])]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+        assert topk._whole(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        got = {}
+        for r in topk.op9(spark, table).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows[:701]}
+        limit = lambda x: max(-(2**62), min(2**62, x))
+        assert sorted(got) == [i for i in whole if i % 20 == 0]
+        for q in got:
+            want = sorted((-limit(sum(x * y for x, y in zip(whole[q], v, strict=False))), i) for i, v in whole.items() if i != q)[:20]
+            if scale < 2.0**40:
+                assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+            else:
+                assert [s for _, _, s in sorted(got[q])] == [-s for s, _ in want]
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(0)
     rows = []
